@@ -21,7 +21,7 @@ class Output:
         self.part = f"{self.path}.{uuid.uuid4().hex}.part"
 
     def __enter__(self):
-        self.stream = self.fs.open_output_stream(self.part)
+        self.stream = self.fs.open_output_stream(self.part, compression=None)
         return self.stream
 
     def __exit__(self, kind, *_):
@@ -34,4 +34,4 @@ class Output:
 
 def open_input(uri: str):
     at, path = _at(uri)
-    return at.open_input_stream(path)
+    return at.open_input_stream(path, compression=None)

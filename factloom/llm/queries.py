@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, token_output
+from . import quality_rules, sharding, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": token_output.op1,
+    "op3_quality_rules": quality_rules.op3,
     "op7_stratified_shards": sharding.op7,
+    "op8_warc_revisits": warc.op8,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc_revisits": warc.SQL,
+}
