@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sharding, token_output, warc
+from . import decontam, quality_rules, secret_ledger, sharding, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": token_output.op1,
     "op3_quality_rules": quality_rules.op3,
+    "op4_secret_ledger": secret_ledger.op4,
+    "op5_decontamination": decontam.op5,
     "op7_stratified_shards": sharding.op7,
     "op8_warc_revisits": warc.op8,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_decontamination": decontam.SQL,
     "op8_warc_revisits": warc.SQL,
 }
