@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, near_dedup, quality_rules, secret_ledger, sharding, token_output, warc
+from . import decontam, line_dedup, near_dedup, quality_rules, secret_ledger, sharding, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": token_output.op1,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": decontam.op5,
     "op7_stratified_shards": sharding.op7,
     "op8_warc_revisits": warc.op8,
+    "op9_line_dedup": line_dedup.op9,
     "op10_near_dedup": near_dedup.op10,
 }
 
