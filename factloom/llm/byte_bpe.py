@@ -15,9 +15,8 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks in one generation of a worker's memos; two generations are kept, and what is used again survives.
-MEMO = 500_000
+MEMO = 700_000
 
-_odd = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 _safe = re.compile(r"(?<=\S)(?= \S)")
 _made: dict = {}
 
@@ -75,7 +74,7 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, self.dtype)
-        if _odd.search(text):
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1:  # white space of other kinds, or more than one
             return np.frombuffer(b"".join([self.first[c] if c[0] != " " else self.later[c[1:]] for c in _safe.split(text)]), self.dtype)
         first, later, out = self.first, self.later.__getitem__, []
         for line in text.split("\n"):
