@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, near_dedup, quality_rules, secret_ledger, sharding, token_output, warc
+from . import decontam, line_dedup, near_dedup, packing, quality_rules, secret_ledger, sharding, token_output, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": token_output.op1,
+    "op2_toxicity": toxicity.op2,
     "op3_quality_rules": quality_rules.op3,
     "op4_secret_ledger": secret_ledger.op4,
     "op5_decontamination": decontam.op5,
+    "op6_packing": packing.op6,
     "op7_stratified_shards": sharding.op7,
     "op8_warc_revisits": warc.op8,
     "op9_line_dedup": line_dedup.op9,
