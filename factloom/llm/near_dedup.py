@@ -82,7 +82,7 @@ def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     top = components(links)
     if labels is None:
         return top
-    up = top.withColumnsRenamed({"node": "label", "label": "up"})
+    up = top.select(F.col("node").alias("label"), F.col("label").alias("up"))
     moved = labels.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
     return C.cut(moved.union(top.join(labels, "node", "left_anti").select("node", "label")))
 
