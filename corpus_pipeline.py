@@ -19,9 +19,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines are deleted; n_chars follows the text. Documents left without text stay."""
+    """Later repeats of runs of lines are deleted; n_chars follows the text. A document all of whose words are deleted
+    says nothing new and goes; one that had no words to begin with stays."""
     out = line_dedup.dedup(docs)
     changed = F.size("_removed") > 0
+    out = out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

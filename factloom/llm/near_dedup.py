@@ -110,30 +110,24 @@ def link(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, rounds
         x = x.withColumn("i", F.size(F.array_intersect("sa", "sb"))).where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i")))
         return C.cut(x.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
 
-    labels, seed, found = None, 0, True
+    labels = None
     for turn in range(rounds):
         own = buckets if labels is None else buckets.join(labels, "node", "left")
         own = own.select("b", "node", "n", F.col("node").alias("label") if labels is None else F.coalesce("label", "node").alias("label"))
-        mid = F.min(F.struct(F.xxhash64("node", "b", F.lit(seed)).alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label")))
+        mid = F.min(F.struct(F.xxhash64("node", "b", F.lit(turn)).alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label")))
         centres = own.groupBy("b").agg(mid.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("b", "c")
         edges = own.join(centres, "b").where((F.col("label") != F.col("c.label")) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")))
-        edges = edges.groupBy(F.col("node").alias("a"), F.col("label").alias("la"), F.col("c.node").alias("b"), F.col("c.label").alias("lb")).agg(F.count(F.lit(1)).alias("w"))
-        if turn == 0:  # first each node's most promising edge alone: most others are then inside a component
-            edges = edges.groupBy("a", "la").agg(F.max(F.struct("w", "b", "lb")).alias("e")).select("a", "la", "e.b", "e.lb")
-        links = confirmed(edges.select("a", "la", "b", "lb"))
-        found = not links.isEmpty()
-        if found:
-            labels = merge(labels, links)
-        elif turn:
+        edges = edges.select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("c.node").alias("b"), F.col("c.label").alias("lb")).distinct()
+        links = confirmed(edges)
+        if links.isEmpty():
             break
-        seed = turn  # turn 1 goes on with the first centres, later ones draw new centres
-    if labels is None:
-        named = signed.withColumn("comp", F.col("node"))
-    else:
-        named = signed.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
-    named = named.select("doc_id", "t1", "t2", "n", "comp")
-    least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+        labels = merge(labels, links)
+    # The least doc_id of each node, then of each component: a row a node, however many copies it has.
+    least = some.groupBy("node").agg(F.min("doc_id").alias("least"))
+    if labels is not None:
+        of = least.join(labels, "node").groupBy("label").agg(F.min("least").alias("top"))
+        least = least.join(labels.join(of, "label").select("node", "top"), "node", "left").select("node", F.coalesce("top", "least").alias("least"))
+    out = signed.select("doc_id", "t1", "t2", "n", "node").join(least, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -150,8 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_co
             yield pd.DataFrame({"y": b._y, "x": [take(f) for f in found], "s": [None if c is None else take(c) for c in copies]})
 
     data = texts.mapInPandas(design, "y int, x array<int>, s array<int>").toArrow()
-    as_ints = lambda x: None if x is None else np.array(x, np.int64)
-    w, b = fit([as_ints(x) for x in data["x"].to_pylist()], [as_ints(s) for s in data["s"].to_pylist()], np.array(data["y"].to_pylist(), float), len(number), fairness=fairness)
+    lists = lambda c: [None if x is None else np.asarray(x, np.int64) for x in data[c].to_pandas()]  # noqa: E731  short arrays, without a Python object for each number
+    w, b = fit(lists("x"), lists("s"), data["y"].to_numpy().astype(float), len(number), fairness=fairness)
     return Model({f: float(w[i]) for f, i in number.items() if w[i]}, b, n0 + n1)
 
 
