@@ -123,3 +123,25 @@ def judge(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", id_col:
 def op3(spark, sf_dir: str) -> DataFrame:
     out = judge(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "rejected_by").alias("rejected_by"))
+
+
+_VALUE = "CASE rule " + " ".join(f"WHEN '{name}' THEN {e}" for name, (e, _) in RULES.items()) + " END"
+_GRID = ", ".join(f"({o}, '{name}', {i}, {c})" for o, (name, (_, cuts)) in enumerate(RULES.items()) for i, c in enumerate(cuts))
+SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '?') AS lang, coalesce(text, '') AS x FROM documents),
+d AS (SELECT doc_id, lang, x, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w, list_filter(string_split(x, chr(10)), lambda v: regexp_matches(v, '[^\x20\x09-\x0D]')) AS l FROM t),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM d, unnest(range(1, len(w) - 6)) u(i)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g), unnest(range(i, i + 8)) u(p) WHERE c > 1 GROUP BY doc_id),
+s AS (SELECT d.doc_id, lang, len(w) AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(x) - length(translate(x, '{SYMBOLS}', '')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(l) AS n_lines, length(x) - length(translate(x, '{C.UPPER}', '')) AS n_capitals, length(x) - length(translate(x, '!?', '')) AS n_marks
+  FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s),
+grid(o, rule, step, cutoff) AS (VALUES {_GRID}),
+good AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+k AS (SELECT lang, rule, step, cutoff, count(*) AS n, count(*) FILTER ({_VALUE} > cutoff) AS k FROM good, grid GROUP BY ALL),
+p AS (SELECT lang, rule, step, cutoff, CASE WHEN k > n * {ALPHA} THEN 0 WHEN k >= n THEN 0 WHEN list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) <= {DELTA} / {len(RULES)} / (SELECT count(DISTINCT lang) FROM good) THEN 1 ELSE 0 END AS ok FROM k),
+a AS (SELECT lang, rule, arg_max(cutoff, step) AS cutoff FROM (SELECT *, min(ok) OVER (PARTITION BY lang, rule ORDER BY step) AS so_far FROM p) WHERE so_far = 1 GROUP BY lang, rule),
+j AS (SELECT b.doc_id, string_agg(a.rule, ',' ORDER BY (SELECT min(o) FROM grid WHERE grid.rule = a.rule)) AS rejected_by FROM b JOIN a ON a.lang = b.lang WHERE {_VALUE.replace('CASE rule', 'CASE a.rule')} > a.cutoff GROUP BY b.doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
+FROM b LEFT JOIN j ON j.doc_id = b.doc_id
+"""

@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality_rules.SQL,
     "op5_decontamination": decontam.SQL,
     "op8_warc_revisits": warc.SQL,
+    "op10_near_dedup": near_dedup.SQL,
 }
