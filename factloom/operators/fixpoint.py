@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Joins unrolled in one round of a closure.
 HOPS = 4
+#: Materialised rounds that are read side by side.
+PARTS = 8
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,33 +43,38 @@ def closure(edges: DataFrame, seeds: DataFrame, *, key: str = "node", labels: tu
     """(labels.., node) reachable from seeds(labels.., node) over edges(src, dst), seeds included. Labels travel along."""
     cols = [*labels, key]
     edges = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    total = delta = cut(seeds.select(*cols).distinct())
-    rounds = 0
+    delta = cut(seeds.select(*cols).distinct())
+    parts, rounds = [delta], 0
     while max_rounds is None or rounds < max_rounds:
         steps, at = [], delta
         for _ in range(hops):
             at = at.join(edges, at[key] == edges["src"]).select(*labels, F.col("dst").alias(key)).distinct()
             steps.append(at)
-        new = cut(union(steps).distinct().join(total, cols, "left_anti"))
+        new = cut(union(steps).distinct().join(union(parts), cols, "left_anti"))
         if new.isEmpty():
             break
-        total, delta, rounds = cut(total.unionByName(new)), new, rounds + 1
-    return total
+        parts, delta, rounds = _compact([*parts, new]), new, rounds + 1
+    return union(parts)
+
+
+def _compact(parts: list[DataFrame]) -> list[DataFrame]:
+    """Rounds are read as they were written, and put together now and then, so that plans stay short."""
+    return parts if len(parts) <= PARTS else [cut(union(parts))]
 
 
 def hop_distances(edges: DataFrame, seeds: DataFrame, *, key: str = "node", most: int | None = None) -> DataFrame:
     """node, hops: the fewest edges from a seed, up to `most`."""
     edges = cut(edges.select("src", "dst").distinct())
-    total = delta = cut(seeds.select(key).distinct().withColumn("hops", F.lit(0)))
-    n = 0
+    delta = cut(seeds.select(key).distinct().withColumn("hops", F.lit(0)))
+    parts, n = [delta], 0
     while most is None or n < most:
         n += 1
         near = delta.join(edges, delta[key] == edges["src"]).select(F.col("dst").alias(key)).distinct()
-        new = cut(near.join(total, key, "left_anti").withColumn("hops", F.lit(n)))
+        new = cut(near.join(union(parts), key, "left_anti").withColumn("hops", F.lit(n)))
         if new.isEmpty():
             break
-        total, delta = cut(total.unionByName(new)), new
-    return total
+        parts, delta = _compact([*parts, new]), new
+    return union(parts)
 
 
 def backward_labels(edges: DataFrame, hits: DataFrame, labels: tuple[str, ...], *, key: str = "node", blocked: DataFrame | None = None) -> DataFrame:
@@ -102,8 +109,11 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     left = cut((every if nodes is None else every.union(nodes.select("node"))).distinct())
     done = []
     while True:
-        while True:  # trimming
-            inner = left.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_semi").join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
+        while True:  # trimming, several layers at a time
+            inner = left
+            for _ in range(2):
+                live = edges.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi")
+                inner = inner.join(live.select(F.col("src").alias("node")).distinct(), "node", "left_semi").join(live.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
             inner = cut(inner)
             out = cut(left.join(inner, "node", "left_anti"))
             if out.isEmpty():
