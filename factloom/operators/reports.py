@@ -103,3 +103,19 @@ def matches_by_vulnerability(ids: DataFrame, functions: DataFrame, calls: DataFr
 def dynamic_writes(writes: DataFrame) -> DataFrame:
     """node_id, functions, others: what unhandled dynamic writes(node_id, tok_kind) would store."""
     return writes.groupBy("node_id").agg(F.count_if(F.col("tok_kind") == "function").alias("functions"), F.count_if(F.col("tok_kind") != "function").alias("others"))
+
+
+def callee_summary(calls: DataFrame, c2f: DataFrame) -> DataFrame:
+    """One row: calls, zero, one, many (by distinct callees) and their shares as text with two decimals."""
+    from ..functions.scalars import percent
+
+    n = calls.join(c2f.groupBy("call_id").agg(F.count_distinct("fn_id").alias("k")), "call_id", "left")
+    x = n.agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("k").isNull()).alias("zero"), F.count_if(F.col("k") == 1).alias("one"), F.count_if(F.col("k") > 1).alias("many"))
+    share = lambda c: percent(F.col(c) / F.greatest("calls", F.lit(1))).alias(f"{c}_share")
+    return x.select("*", share("zero"), share("one"), share("many"))
+
+
+def first_sources(labels: DataFrame, entries: DataFrame, k: int = 5) -> DataFrame:
+    """vuln_id, rank, node: of the labelled nodes(node, vuln_id) that are entries(node), the k least of each label."""
+    x = labels.join(entries.select("node").distinct(), "node", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("vuln_id").orderBy("node")))
+    return x.where(F.col("rank") <= k).select("vuln_id", "rank", "node")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, fixpoint, pointsto, reports, vulnerabilities
+from ..operators import compare, fixpoint, pointsto, reports, usage, vulnerabilities
 from ..patterns import language
 from ..patterns.compiler import Matcher, arg_count
 from ..sources.bindings import ctes, view
@@ -324,3 +324,38 @@ def _(site):
     few = stored.groupBy("prop").agg(F.count(F.lit(1)).alias("c")).where("c <= 25").select("prop")
     calls = site.where("kind = 'call'").select("node_id", "prop")
     return calls.join(stored.join(few, "prop", "left_semi"), "prop").select("node_id", F.col("bp").alias("candidate")).distinct()
+
+
+@register("advisory_affected_packages", ("b_pkg",), """c_v AS (SELECT pkg_id, CAST(split_part(version, '.', 1) AS INT) * 10000 + CAST(split_part(version, '.', 2) AS INT) * 100 + CAST(split_part(version, '.', 3) AS INT) AS v FROM b_pkg)
+SELECT pkg_id, 'N' AS vuln_id FROM c_v WHERE v >= 10000 AND v < 20503
+UNION SELECT pkg_id, 'O' FROM c_v WHERE (v >= 200 AND v < 909) OR (v >= 20000 AND v <= 30100) OR v = 10101""")
+def _(pkg):
+    """The full advisory rules: an npm range and the events of an OSV entry."""
+    names = pkg.select("name").distinct()
+    npm = names.select(F.lit("N").alias("vuln_id"), "name", F.lit(">=1.0.0 <2.5.3").alias("range"), F.lit(None).cast("array<string>").alias("versions"), F.lit(None).cast("array<array<map<string,string>>>").alias("ranges"))
+    event = lambda k, v: F.create_map(F.lit(k), F.lit(v))
+    events = F.array(F.array(event("introduced", "0.2.0"), event("fixed", "0.9.9"), event("introduced", "2.0.0"), event("last_affected", "3.1.0")))
+    osv = names.select(F.lit("O"), "name", F.lit(None).cast("string"), F.array(F.lit("1.1.1")), events)
+    return vulnerabilities.affected_packages(pkg, npm.union(osv))
+
+
+@register("reaching_functions", ("b_edge", "b_vuln"), "RECURSIVE r_back AS (SELECT fn_id AS node FROM b_vuln UNION SELECT e.src FROM r_back r JOIN b_edge e ON e.dst = r.node) SELECT DISTINCT e.src AS node, e.dst AS successor FROM b_edge e JOIN r_back r ON r.node = e.dst")
+def _(edge, vuln):
+    return usage.reaching_functions(edge, edge.limit(0), vuln.select(F.col("fn_id").alias("node")))
+
+
+@register("callee_summary", ("b_call", "b_c2f"), "c_k AS (SELECT call_id, count(DISTINCT fn_id) AS k FROM b_c2f GROUP BY call_id), c_n AS (SELECT count(*) AS calls, count(*) FILTER (k IS NULL) AS zero, count(*) FILTER (k = 1) AS one, count(*) FILTER (k > 1) AS many FROM b_call LEFT JOIN c_k USING (call_id)) SELECT *, printf('%.2f%%', 100.0 * zero / calls) AS zero_share, printf('%.2f%%', 100.0 * one / calls) AS one_share, printf('%.2f%%', 100.0 * many / calls) AS many_share FROM c_n")
+def _(call, c2f):
+    return reports.callee_summary(call, c2f)
+
+
+@register("first_sources_per_vulnerability", ("b_edge", "b_fn", "b_pkg", "b_vuln"), f"{LABELS} SELECT vuln_id, rank, node FROM (SELECT vuln_id, node, row_number() OVER (PARTITION BY vuln_id ORDER BY node) AS rank FROM r_lab JOIN b_fn f ON f.fn_id = node JOIN b_pkg p ON p.pkg_id = f.pkg_id WHERE is_entry) WHERE rank <= 5")
+def _(edge, fn, pkg, vuln):
+    hits = fixpoint.backward_labels(edge, vuln.withColumnRenamed("fn_id", "node"), ("vuln_id",))
+    return reports.first_sources(hits, _seeds(fn, pkg))
+
+
+@register("dynamic_write_summary", ("b_site",), "SELECT bp AS node_id, count(*) FILTER (prop % 3 = 0) AS functions, count(*) FILTER (prop % 3 <> 0) AS others FROM b_site WHERE kind = 'write' GROUP BY bp")
+def _(site):
+    kind = F.when(F.col("prop") % 3 == 0, "function").otherwise("object")
+    return reports.dynamic_writes(site.where("kind = 'write'").select(F.col("bp").alias("node_id"), kind.alias("tok_kind")))
