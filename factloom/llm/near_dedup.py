@@ -8,7 +8,7 @@ link or `rounds` are over. Full sets confirm every link.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import md5
 
 import numpy as np
@@ -75,6 +75,7 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("node", "label")
         if new.where("old != label").isEmpty():
             return label
+        C.tidy(links.sparkSession)
 
 
 def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -87,6 +88,24 @@ def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return C.cut(moved.union(top.join(labels, "node", "left_anti").select("node", "label")))
 
 
+def _grow(buckets: DataFrame, confirmed: Callable[[DataFrame], DataFrame], percent: int, rounds: int) -> DataFrame | None:
+    """labels(node, label) of the nodes that confirmed links join; None if there are none."""
+    labels = None
+    for turn in range(rounds):
+        own = buckets if labels is None else buckets.join(labels, "node", "left")
+        own = own.select("b", "node", "n", F.col("node").alias("label") if labels is None else F.coalesce("label", "node").alias("label"))
+        mid = F.min(F.struct(F.xxhash64("node", "b", F.lit(turn)).alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label")))
+        centres = own.groupBy("b").agg(mid.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("b", "c")
+        edges = own.join(centres, "b").where((F.col("label") != F.col("c.label")) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")))
+        edges = edges.select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("c.node").alias("b"), F.col("c.label").alias("lb")).distinct()
+        links = confirmed(edges)
+        if links.isEmpty():
+            break
+        labels = merge(labels, links)
+        C.tidy(buckets.sparkSession)
+    return labels
+
+
 def link(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """docs(doc_id long, text) → doc_id, t1, t2, n_shingles, component_id, kept; one row for each input row.
 
@@ -110,18 +129,8 @@ def link(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, rounds
         x = x.withColumn("i", F.size(F.array_intersect("sa", "sb"))).where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i")))
         return C.cut(x.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
 
-    labels = None
-    for turn in range(rounds):
-        own = buckets if labels is None else buckets.join(labels, "node", "left")
-        own = own.select("b", "node", "n", F.col("node").alias("label") if labels is None else F.coalesce("label", "node").alias("label"))
-        mid = F.min(F.struct(F.xxhash64("node", "b", F.lit(turn)).alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label")))
-        centres = own.groupBy("b").agg(mid.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("b", "c")
-        edges = own.join(centres, "b").where((F.col("label") != F.col("c.label")) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")))
-        edges = edges.select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("c.node").alias("b"), F.col("c.label").alias("lb")).distinct()
-        links = confirmed(edges)
-        if links.isEmpty():
-            break
-        labels = merge(labels, links)
+    with C.interpreted(docs.sparkSession):
+        labels = _grow(buckets, confirmed, percent, rounds)
     # The least doc_id of each node, then of each component: a row a node, however many copies it has.
     least = some.groupBy("node").agg(F.min("doc_id").alias("least"))
     if labels is not None:
