@@ -3,7 +3,8 @@
 Texts with one shingle set are one node. Every bucket of a band proposes one edge from each member to the bucket's
 centre, so candidates grow with the rows of buckets and never with their square. Confirmed links are contracted into
 components; buckets that still span several components get new centres, round after round, until a round finds no
-link or `rounds` are over. Full sets confirm every link.
+link or `rounds` are over. What then still spans several components is joined exactly by prefixes of rare shingles.
+Full sets confirm every link.
 """
 
 from __future__ import annotations
@@ -106,6 +107,39 @@ def _grow(buckets: DataFrame, confirmed: Callable[[DataFrame], DataFrame], perce
     return labels
 
 
+def _prefixes(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """left(node, label) → g, node, label, n, room: the shingles g of a node that may be the first one a link shares,
+    rarest first among all of left; room counts the node's shingles from g on."""
+    sets = sets.join(left, "node").select("node", "label", "n", "s")
+    tokens = sets.select("node", F.explode("s").alias("g"))
+    # Shingles of a single node come before all others and pair nothing: only their number counts.
+    shared = tokens.join(tokens.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "g")
+    shared = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("o"))
+    x = shared.join(sets.drop("s"), "node").withColumn("most", F.size("o")).withColumn("least", F.expr(f"cast(({percent} * n + 99) div 100 as int)")).where("most >= least")
+    x = x.select("node", "label", "n", "most", F.posexplode(F.expr("slice(o, 1, most - least + 1)")).alias("p", "e"))
+    return x.select(F.col("e.g").alias("g"), "node", "label", "n", (F.col("most") - F.col("p")).alias("room"))
+
+
+def _finish(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, confirmed: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
+    """labels after all links between nodes of buckets that still span several labels: an exact set join. Two linked sets
+    have their first common shingle in both prefixes, with room for the overlap they need after it."""
+    own = buckets.select("b", "node", F.col("node").alias("label")) if labels is None else buckets.join(labels, "node", "left").select("b", "node", F.coalesce("label", "node").alias("label"))
+    spans = own.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("b")
+    left = C.cut(own.join(spans, "b").select("node", "label").distinct())
+    if left.isEmpty():
+        return labels
+    pre = C.stored(_prefixes(left, sets, percent), "prefixes")
+    # At least one node of a pair is outside the most frequent label of its shingle: members of that do not meet each other.
+    top = pre.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("k"))
+    pre = C.stored(pre.join(top.where("k > 1").select("g", F.col("top.label").alias("top")), "g").withColumn("out", F.col("label") != F.col("top")), "prefixes")
+    x, y = (pre.select("g", "out", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "label", "n", "room")]) for side in "xy")
+    fits = f"x_label != y_label and {100 + percent} * least(x_room, y_room) >= {percent} * (x_n + y_n)"
+    pairs = x.join(y.where("out").drop("out"), "g").where(fits).where("not out or x_node < y_node")
+    edges = C.cut(pairs.select(F.col("x_node").alias("a"), F.col("x_label").alias("la"), F.col("y_node").alias("b"), F.col("y_label").alias("lb")).distinct())
+    links = confirmed(edges)
+    return labels if links.isEmpty() else merge(labels, links)
+
+
 def link(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """docs(doc_id long, text) → doc_id, t1, t2, n_shingles, component_id, kept; one row for each input row.
 
@@ -130,7 +164,7 @@ def link(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, rounds
         return C.cut(x.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
 
     with C.interpreted(docs.sparkSession):
-        labels = _grow(buckets, confirmed, percent, rounds)
+        labels = _finish(buckets, _grow(buckets, confirmed, percent, rounds), sets, confirmed, percent)
     # The least doc_id of each node, then of each component: a row a node, however many copies it has.
     least = some.groupBy("node").agg(F.min("doc_id").alias("least"))
     if labels is not None:

@@ -57,6 +57,18 @@ def test_near_dedup_equals_brute_force(spark, odd_docs, no_docs):
     assert near_dedup.link(no_docs.select("doc_id", "text")).count() == 0
 
 
+def test_pairs_among_many_documents_of_one_template(spark):
+    # All share buckets; apart from the pairs, no two are alike enough.
+    template, rows = [f"t{i}" for i in range(90)], []
+    for d in range(800):
+        own = [f"pair{d // 2}x{i}" if i < 5 and d < 160 else f"own{d}x{i}" for i in range(15)]
+        rows.append((d, " ".join(template + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 1)
+    assert len({c for _, _, c in want}) == 720
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.link(docs, size=1).collect()) == want
+
+
 def test_links_through_a_member_that_is_no_centre(spark):
     # A long chain: neighbours alike, ends not.
     base = prose(77, 150).split()
