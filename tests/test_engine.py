@@ -94,6 +94,17 @@ def test_points_to_accessors_and_arrays(spark):
     assert pts["n:r"] == {"v"} and pts["A:s:0"] == {"v"} and pts["n:e"] == {"v"} and pts["T:g"] == {"o"}
 
 
+def test_points_to_setters_of_bases_reached_later(spark):
+    pts, _ = solved(
+        spark,
+        token=[("s", "function", 1), ("t", "function", 1), ("o", "object", None), ("v", "object", None)],
+        pts=[("n:a", "o"), ("S:o:y", "s"), ("n:v", "v"), ("n:t", "t"), ("n:o", "o")],
+        subset=[("n:a", "n:b"), ("n:b", "n:c"), ("n:t", "n:u"), ("n:u", "S:o:z")], write=[("n:c", "y", "n:v"), ("n:o", "z", "n:v")],
+    )
+    assert pts["A:s:0"] == {"v"} and pts["T:s"] == {"o"}  # the base arrives after the setter
+    assert pts["A:t:0"] == {"v"} and pts["T:t"] == {"o"}  # the setter after the base
+
+
 def test_semi_naive_equals_naive(spark):
     e = graph(9, 12, 20)
     rules = [fixpoint.Rule("step", ("path", "edge"), lambda r: {"path": r["path"].join(r["edge"].toDF("b", "c"), "b").select("a", F.col("c").alias("b"))})]
