@@ -19,6 +19,23 @@ MEMO = 700_000
 
 _safe = re.compile(r"(?<=\S)(?= \S)")
 _made: dict = {}
+#: White space but space and line feed (there is none beyond U+3000), and what two of those make.
+_OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_OTHER_ASCII = [c for c in _OTHER if c.isascii()]
+_DOUBLE = ("  ", "\n\n", " \n", "\n ")
+
+
+def _single_blanks(text: str) -> bool:
+    """All white space of a text (not empty) is single spaces and line feeds between other characters."""
+    if text[0] in " \n" or text[-1] in " \n":
+        return False
+    for blank in _OTHER_ASCII if text.isascii() else _OTHER:
+        if blank in text:
+            return False
+    for blanks in _DOUBLE:
+        if blanks in text:
+            return False
+    return True
 
 
 class _Memo(dict):
@@ -74,7 +91,7 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, self.dtype)
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:  # white space of other kinds, or more than one
+        if not _single_blanks(text):
             return np.frombuffer(b"".join([self.first[c] if c[0] != " " else self.later[c[1:]] for c in _safe.split(text)]), self.dtype)
         first, later, out = self.first, self.later.__getitem__, []
         for line in text.split("\n"):

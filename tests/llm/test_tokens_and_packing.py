@@ -36,6 +36,12 @@ def test_small_memo_and_special_strings():
         assert e.encode(text).tolist() == e.library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["Title line\n\xa0\xa0indented text", "a\n\xa0\xa0b", "head\n\n\nname\tvalue\tunit\nrow", "a  b\tc", "a\n\nb\tc", " a\u3000b", "a\n\n\nb", "a\x1cb\n\nc"])
+def test_other_white_space_does_not_make_up_for_empty_pieces(text):
+    e = encoder()
+    assert e.encode(text).tolist() == e.library.encode(text, add_special_tokens=False).ids
+
+
 def expected(docs, end):
     rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in docs.collect()))
     e = encoder()
