@@ -115,6 +115,13 @@ def test_secret_spans(spark, odd_docs):
     assert {"private_key", "url_password"} <= kinds
 
 
+def test_passwords_in_urls_of_any_length(spark):
+    texts = ["redis://:hunter2@host", "https://me:" + "k" * 300 + "@host/x", "http://" + "u" * 80 + ":hunter2@h", "see http://host:8080/a@b"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    got = {r["i"]: [(s["start"], s["end"]) for s in r["s"] if s["kind"] == "url_password"] for r in docs.withColumn("s", secret_ledger.spans(F.col("text"))).collect()}
+    assert got == {0: [(0, 17)], 1: [(0, 312)], 2: [(0, 96)], 3: []}
+
+
 def test_ledger_scans_only_unseen_pairs(spark, tmp_path, odd_docs, no_docs):
     at = f"file://{tmp_path}/ledger"
     first = spark.createDataFrame([("a", SECRETS[0]), ("b", SECRETS[0]), ("c", None), (None, SECRETS[1])], "path string, content string")
