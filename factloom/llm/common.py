@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     got = sc._jsc.sc().getCheckpointDir()
     if got.isDefined():
         return got.get().rstrip("/")
+    if sc.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(own := tempfile.mkdtemp(prefix="factloom-"))
     return f"file://{own}"
 
@@ -60,17 +62,21 @@ def tidy(spark: SparkSession) -> None:
 
 
 @contextmanager
-def interpreted(spark: SparkSession) -> Iterator[None]:
-    """Many short jobs: no generated classes for each of their stages, which would fill the driver's memory."""
-    key = "spark.sql.codegen.wholeStage"
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """key has this value meanwhile, and its former one afterwards."""
     before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def interpreted(spark: SparkSession):
+    """Many short jobs: no generated classes for each of their stages, which would fill the driver's memory."""
+    return setting(spark, "spark.sql.codegen.wholeStage", "false")
+
+
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

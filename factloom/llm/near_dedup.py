@@ -2,9 +2,9 @@
 
 Texts with one shingle set are one node. Every bucket of a band proposes one edge from each member to the bucket's
 centre, so candidates grow with the rows of buckets and never with their square. Confirmed links are contracted into
-components; buckets that still span several components get new centres, round after round, until a round finds no
-link or `rounds` are over. What then still spans several components is joined exactly by prefixes of rare shingles.
-Full sets confirm every link.
+components, and buckets that still span several components get new centres as long as that pays. What then still spans
+several components is joined exactly by prefixes of rare shingles, so that no link between members of a bucket is lost
+however large the bucket is. Full sets confirm every link.
 """
 
 from __future__ import annotations
@@ -21,7 +21,16 @@ from . import common as C
 
 #: 32 bands of 4 of 128 bins: a pair at 0.8 shares no band with a chance of 5e-8.
 BINS, BANDS = 128, 32
-SHINGLE, PERCENT, ROUNDS = 5, 80, 6
+#: Parity bits of a set: each shingle turns one over, so that bits in which two sets differ bound their difference from below.
+PARITY = 512
+SHINGLE, PERCENT = 5, 80
+#: Rounds of stars go on while one comparison in so many gives a link; the exact join does the rest.
+WORTH = 4
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """A checkpoint's estimated size is that of its plan, which joins of loops square again and again; a file's is its own."""
+    return C.stored(df, "round")
 
 
 def _keys() -> list[Column]:
@@ -29,23 +38,34 @@ def _keys() -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
+def _differ(x: str, y: str) -> str:
+    """SQL: no more than the number of shingles that are in one of two sets only, from their parity bits."""
+    return " + ".join(f"bit_count({x}.m{i} ^ {y}.m{i})" for i in range(PARITY // 64))
+
+
+def _near(x_n: str, y_n: str, x: str, y: str, percent: int) -> str:
+    """SQL: sizes and parity bits leave room for a link."""
+    return f"100 * least({x_n}, {y_n}) >= {percent} * greatest({x_n}, {y_n}) and {100 + percent} * ({_differ(x, y)}) <= {100 - percent} * ({x_n} + {y_n})"
+
+
 def signatures(docs: DataFrame, size: int, bins: int = BINS, bands: int = BANDS) -> DataFrame:
-    """doc_id, t1, t2 (hashes of the text), node (binary, of the set; null if empty), n, keys (one a band)."""
+    """doc_id, t1, t2 (hashes of the text), node (binary, of the set; null if empty), n, keys (one a band), m (parity bits)."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from .shingles import Sketch, shingle_set
+        from .shingles import Sketch, parity, shingle_set
 
         sketch = Sketch(bins, bands)
         for b in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, bits = [], [], [], []
             for text in b.text:
                 s = shingle_set(text, size)
                 sizes.append(len(s))
                 nodes.append(md5(s.tobytes()).digest() if len(s) else None)
                 keys.append(sketch.keys(s) if len(s) else None)
-            yield pd.DataFrame({"doc_id": b.doc_id, "t1": b.t1, "t2": b.t2, "node": nodes, "n": sizes, "keys": keys})
+                bits.append(parity(s, PARITY) if len(s) else None)
+            yield pd.DataFrame({"doc_id": b.doc_id, "t1": b.t1, "t2": b.t2, "node": nodes, "n": sizes, "keys": keys, "m": bits})
 
-    return docs.select("doc_id", *_keys(), "text").mapInPandas(sign, "doc_id long, t1 long, t2 long, node binary, n long, keys array<long>")
+    return docs.select("doc_id", *_keys(), "text").mapInPandas(sign, "doc_id long, t1 long, t2 long, node binary, n long, keys array<long>, m array<long>")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -66,13 +86,13 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) → node, label: the least node that links reach. Least labels spread along links and jump to their own
     labels, so rounds follow the logarithm of a component's length."""
-    both = C.cut(links.union(links.select("b", "a")).toDF("a", "b").where("a != b").distinct())
-    label = C.cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    both = _kept(links.union(links.select("b", "a")).toDF("a", "b").where("a != b").distinct())
+    label = _kept(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "node")
         step = label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("via"))
         jump = label.select(F.col("node").alias("via"), F.col("label").alias("to"))
-        new = C.cut(step.join(jump, "via", "left").select("node", "old", F.least("via", F.coalesce("to", "via")).alias("label")))
+        new = _kept(step.join(jump, "via", "left").select("node", "old", F.least("via", F.coalesce("to", "via")).alias("label")))
         label = new.select("node", "label")
         if new.where("old != label").isEmpty():
             return label
@@ -86,61 +106,67 @@ def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         return top
     up = top.select(F.col("node").alias("label"), F.col("label").alias("up"))
     moved = labels.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-    return C.cut(moved.union(top.join(labels, "node", "left_anti").select("node", "label")))
+    return _kept(moved.union(top.join(labels, "node", "left_anti").select("node", "label")))
 
 
-def _grow(buckets: DataFrame, confirmed: Callable[[DataFrame], DataFrame], percent: int, rounds: int) -> DataFrame | None:
-    """labels(node, label) of the nodes that confirmed links join; None if there are none."""
-    labels = None
-    for turn in range(rounds):
-        own = buckets if labels is None else buckets.join(labels, "node", "left")
-        own = own.select("b", "node", "n", F.col("node").alias("label") if labels is None else F.coalesce("label", "node").alias("label"))
-        mid = F.min(F.struct(F.xxhash64("node", "b", F.lit(turn)).alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("label").alias("label")))
+def _grow(buckets: DataFrame, confirmed: Callable[[DataFrame], DataFrame], percent: int, worth: int) -> tuple[DataFrame, DataFrame | None]:
+    """The bucket rows still to do, and labels(node, label) of the nodes that confirmed links join (None without any).
+
+    In a round every bucket's centre is compared with all members of other components, and then leaves the bucket: none of
+    its pairs there is left. A bucket of m nodes is thus done after m - 1 rounds, and at once when it is of one component.
+    A node's rank as a centre is the same in all buckets, so that a group's buckets propose the same few centres. Rounds
+    end when fewer than one comparison in `worth` gives a link."""
+    labels, todo = None, buckets.select("b", "node", "n", "m")
+    while True:
+        own = todo.withColumn("label", F.col("node")) if labels is None else todo.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mid = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("m").alias("m"), F.col("label").alias("label")))
         centres = own.groupBy("b").agg(mid.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("b", "c")
-        edges = own.join(centres, "b").where((F.col("label") != F.col("c.label")) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")))
-        edges = edges.select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("c.node").alias("b"), F.col("c.label").alias("lb")).distinct()
-        links = confirmed(edges)
-        if links.isEmpty():
-            break
-        labels = merge(labels, links)
-        C.tidy(buckets.sparkSession)
-    return labels
+        paired = _kept(own.join(centres, "b").where("node != c.node"))
+        near = paired.where("label != c.label").where(_near("n", "c.n", "m", "c.m", percent))
+        edges = _kept(near.select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("c.node").alias("b"), F.col("c.label").alias("lb")).distinct())
+        links, todo = confirmed(edges), paired.select("b", "node", "n", "m")
+        found = links.count()
+        if found:
+            labels = merge(labels, links)
+            C.tidy(buckets.sparkSession)
+        if worth * found <= edges.count():
+            return todo, labels
 
 
 def _prefixes(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """left(node, label) → g, node, label, n, room: the shingles g of a node that may be the first one a link shares,
+    """left(node, label, m) → g, node, label, n, m, room: the shingles g of a node that may be the first one a link shares,
     rarest first among all of left; room counts the node's shingles from g on."""
-    sets = sets.join(left, "node").select("node", "label", "n", "s")
+    sets = sets.join(left, "node").select("node", "label", "n", "m", "s")
     tokens = sets.select("node", F.explode("s").alias("g"))
     # Shingles of a single node come before all others and pair nothing: only their number counts.
     shared = tokens.join(tokens.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "g")
     shared = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("o"))
     x = shared.join(sets.drop("s"), "node").withColumn("most", F.size("o")).withColumn("least", F.expr(f"cast(({percent} * n + 99) div 100 as int)")).where("most >= least")
-    x = x.select("node", "label", "n", "most", F.posexplode(F.expr("slice(o, 1, most - least + 1)")).alias("p", "e"))
-    return x.select(F.col("e.g").alias("g"), "node", "label", "n", (F.col("most") - F.col("p")).alias("room"))
+    x = x.select("node", "label", "n", "m", "most", F.posexplode(F.expr("slice(o, 1, most - least + 1)")).alias("p", "e"))
+    return x.select(F.col("e.g").alias("g"), "node", "label", "n", "m", (F.col("most") - F.col("p")).alias("room"))
 
 
 def _finish(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, confirmed: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
     """labels after all links between nodes of buckets that still span several labels: an exact set join. Two linked sets
     have their first common shingle in both prefixes, with room for the overlap they need after it."""
-    own = buckets.select("b", "node", F.col("node").alias("label")) if labels is None else buckets.join(labels, "node", "left").select("b", "node", F.coalesce("label", "node").alias("label"))
+    own = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     spans = own.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("b")
-    left = C.cut(own.join(spans, "b").select("node", "label").distinct())
+    left = _kept(own.join(spans, "b").groupBy("node", "label").agg(F.first("m").alias("m")))
     if left.isEmpty():
         return labels
     pre = C.stored(_prefixes(left, sets, percent), "prefixes")
     # At least one node of a pair is outside the most frequent label of its shingle: members of that do not meet each other.
     top = pre.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("k"))
     pre = C.stored(pre.join(top.where("k > 1").select("g", F.col("top.label").alias("top")), "g").withColumn("out", F.col("label") != F.col("top")), "prefixes")
-    x, y = (pre.select("g", "out", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "label", "n", "room")]) for side in "xy")
-    fits = f"x_label != y_label and {100 + percent} * least(x_room, y_room) >= {percent} * (x_n + y_n)"
+    x, y = (pre.select("g", "out", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "label", "n", "m", "room")]) for side in "xy")
+    fits = f"x_label != y_label and {100 + percent} * least(x_room, y_room) >= {percent} * (x_n + y_n) and {_near('x_n', 'y_n', 'x_m', 'y_m', percent)}"
     pairs = x.join(y.where("out").drop("out"), "g").where(fits).where("not out or x_node < y_node")
-    edges = C.cut(pairs.select(F.col("x_node").alias("a"), F.col("x_label").alias("la"), F.col("y_node").alias("b"), F.col("y_label").alias("lb")).distinct())
+    edges = _kept(pairs.select(F.col("x_node").alias("a"), F.col("x_label").alias("la"), F.col("y_node").alias("b"), F.col("y_label").alias("lb")).distinct())
     links = confirmed(edges)
     return labels if links.isEmpty() else merge(labels, links)
 
 
-def link(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+def link(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, worth: int = WORTH) -> DataFrame:
     """docs(doc_id long, text) → doc_id, t1, t2, n_shingles, component_id, kept; one row for each input row.
 
     component_id is the least doc_id in the component; kept says that the row's doc_id is it. A null, empty or wordless
@@ -150,21 +176,23 @@ def link(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, rounds
     C.arrow_rows(docs.sparkSession)
     signed = C.stored(signatures(docs, size), "signatures")
     some = signed.where("n > 0")
-    nodes = some.groupBy("node").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    rows = nodes.select("node", "rep", "n", F.explode("keys").alias("b"))
+    bits = F.struct(*[F.first(F.col("m")[i]).alias(f"m{i}") for i in range(PARITY // 64)])
+    nodes = C.stored(some.groupBy("node").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), bits.alias("m")), "nodes")
+    rows = nodes.select("node", F.explode("keys").alias("b"))
     full = rows.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("b")
-    buckets = C.stored(rows.join(full, "b"), "buckets")
-    sets = C.stored(shingle_sets(docs, buckets.groupBy("node").agg(F.first("rep").alias("rep")), size), "sets")
+    buckets = C.stored(rows.join(full, "b").join(nodes.select("node", "n", "m"), "node"), "buckets")
+    sets = C.stored(shingle_sets(docs, buckets.select("node").distinct().join(nodes.select("node", "rep"), "node"), size), "sets")
 
     def confirmed(edges: DataFrame) -> DataFrame:
         """edges(a, la, b, lb) → links between labels la and lb."""
         x = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a")
         x = x.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
         x = x.withColumn("i", F.size(F.array_intersect("sa", "sb"))).where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i")))
-        return C.cut(x.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        return _kept(x.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
 
     with C.interpreted(docs.sparkSession):
-        labels = _finish(buckets, _grow(buckets, confirmed, percent, rounds), sets, confirmed, percent)
+        todo, labels = _grow(buckets, confirmed, percent, worth)
+        labels = _finish(todo, labels, sets, confirmed, percent)
     # The least doc_id of each node, then of each component: a row a node, however many copies it has.
     least = some.groupBy("node").agg(F.min("doc_id").alias("least"))
     if labels is not None:

@@ -47,6 +47,12 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(out)
 
 
+def parity(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Of each of `bits` classes of hashes, whether the set has an odd number, packed into 64-bit integers."""
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 class Sketch:
     """One permutation hashing: a set's hash space is cut into `bins` by its top bits, and each bin keeps its least
     value. An empty bin takes the value of a bin chosen by a sequence of universal hashes of its own number, the same for

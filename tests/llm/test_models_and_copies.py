@@ -69,6 +69,45 @@ def test_pairs_among_many_documents_of_one_template(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.link(docs, size=1).collect()) == want
 
 
+def test_large_group_of_near_copies_near_the_threshold(spark):
+    # Most pairs are below 0.8, the group hangs together through others, and over a hundred texts stay apart.
+    import random
+
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for d in range(1500):
+        w = list(base)
+        for p in r.sample(range(300), r.randrange(3, 7)):
+            w[p] = f"e{r.randrange(10**9)}"
+        rows.append((d, " ".join(w)))
+    sets = [shingle_set(t, 5) for _, t in rows]
+    number = {h: i for i, h in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    shared = np.zeros((len(rows), len(rows)), np.int32)
+    at: dict = {}
+    for i, s in enumerate(sets):
+        for h in s.tolist():
+            at.setdefault(number[h], []).append(i)
+    for ids in at.values():
+        if len(ids) > 1:
+            shared[np.ix_(ids, ids)] += 1
+    sizes = np.array([len(s) for s in sets])
+    linked = 100 * shared >= 80 * (sizes[:, None] + sizes[None, :] - shared)
+    want, left = {}, set(range(len(rows)))
+    while left:
+        least = min(left)
+        found, todo = {least}, [least]
+        while todo:
+            new = set(np.flatnonzero(linked[todo.pop()]).tolist()) - found
+            found |= new
+            todo += new
+        want |= dict.fromkeys(found, least)
+        left -= found
+    assert 20 < len(set(want.values())) < 900
+    got = near_dedup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == want
+
+
 def test_links_through_a_member_that_is_no_centre(spark):
     # A long chain: neighbours alike, ends not.
     base = prose(77, 150).split()
