@@ -104,15 +104,15 @@ def dedup(docs: DataFrame, *, gram: int = GRAM, span: int = SPAN, id_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_d"), F.xxhash64(text).alias("_k")]
     found = repeats(docs.select(*key, text.alias("text")), gram, span)
-    x = docs.withColumns({"_d": key[0], "_k": key[1]}).join(found, ["_d", "_k"], "left")
+    x = docs.withColumns({"_d": key[0], "_k": key[1]}).join(found.withColumnRenamed("runs", "_runs"), ["_d", "_k"], "left")
 
     def gone(lines: Column) -> Column:
         full = F.filter(F.transform(lines, lambda v, i: F.when(v.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
-        return C.let(full, lambda at: F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform(F.col("runs"), lambda r: F.sequence(r["lo"], r["hi"]))), lambda k: at[k]))))
+        return C.let(full, lambda at: F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform(F.col("_runs"), lambda r: F.sequence(r["lo"], r["hi"]))), lambda k: at[k]))))
 
-    x = x.withColumn("_removed", F.when(F.col("runs").isNotNull(), gone(F.split(text, "\n"))).otherwise(F.array().cast("array<int>")))
+    x = x.withColumn("_removed", F.when(F.col("_runs").isNotNull(), gone(F.split(text, "\n"))).otherwise(F.array().cast("array<int>")))
     left = C.let(F.split(text, "\n"), lambda v: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(v) - 1), F.col("_removed")), lambda i: v[i]), "\n"))
-    return x.withColumn(text_col, F.when(F.col("runs").isNull(), F.col(text_col)).otherwise(left)).drop("_d", "_k", "runs")
+    return x.withColumn(text_col, F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(left)).drop("_d", "_k", "_runs")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
