@@ -40,9 +40,10 @@ def prefixes(docs: DataFrame, found: DataFrame) -> DataFrame:
     """found(window) → window, n, word, at: each window's rarest word in the corpus and its place (0-based)."""
     places = found.select("window", F.posexplode("window").alias("at", "word"))
     known = places.select("word").distinct()
-    known = _small(known, known.count())
+    n = known.count()
+    known = _small(known, n)
     df = docs.select(F.explode("_w").alias("word")).join(known, "word").groupBy("word").agg(F.count(F.lit(1)).alias("f"))
-    ranked = places.join(df, "word", "left")
+    ranked = places.join(_small(df, n), "word", "left")  # df has a row for each known word at most
     order = F.struct(F.coalesce("f", F.lit(0)), "word", "at")
     return ranked.groupBy("window").agg(F.min(order).alias("p")).select("window", F.size("window").alias("n"), F.col("p.word").alias("word"), F.col("p.at").alias("at"))
 
