@@ -27,29 +27,31 @@ _id = re.compile(rb"WARC-Record-ID: <urn:page:(-?\d+)>")
 
 
 def resolve(pages: DataFrame, *, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, refers_to (null for responses), without payloads.
+    """page_id, payload_bytes, payload_digest, refers_to, refers_to_url (null for responses), without payloads.
 
     Of pages with equal payloads of at least least_bytes, that with the largest page_id is the response. A null payload
     is an empty one. Rows with a null page_id are responses and nothing refers to them. Rows that share page_id and
-    payload are one page.
+    payload are one page; its url is the greatest of theirs.
     """
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    heads = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
+    url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
+    heads = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("_u"), F.sha1(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
     large = heads.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull())
     # Only digests that do occur again need the join; partial counts keep a hot digest's rows in their own tasks.
-    again = large.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("of"), F.min("page_id").alias("least")).where("of > least").drop("least")
+    again = large.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("of"), F.min("page_id").alias("least"), F.max(F.struct("page_id", F.col("_u").alias("u"))).alias("m")).where("of > least").select("payload_digest", "payload_bytes", "of", F.col("m.u").alias("_to"))
     at = F.when(F.col("payload_bytes") >= least_bytes, F.when(F.col("page_id") < F.col("of"), F.col("of")))
-    return heads.join(again, ["payload_digest", "payload_bytes"], "left").select("page_id", "payload_bytes", "payload_digest", at.alias("refers_to"))
+    return heads.join(again, ["payload_digest", "payload_bytes"], "left").select("page_id", "payload_bytes", "payload_digest", at.alias("refers_to"), F.when(at.isNotNull(), F.col("_to")).alias("refers_to_url"))
 
 
-def _record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
+def _record(page_id, url: str | None, payload: bytes, digest: str, refers_to, size: int, target: str | None) -> bytes:
+    """size: bytes of the page's payload, which a revisit does not carry; target: the url of the page that it refers to."""
     name = "none" if page_id is None else str(page_id)
     shown = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
-    url = re.sub(r"[\r\n]", "", url or "about:blank")
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: {shown}"]
+    plain = lambda x: re.sub(r"[\r\n]", "", x or "about:blank")
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {plain(url)}", f"WARC-Payload-Digest: {shown}"]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Truncated: length"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Refers-To-Target-URI: {plain(target)}", f"WARC-Refers-To-Date: {DATE}", "WARC-Truncated: length"]
     block = http + payload if refers_to is None else http
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     data = ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
@@ -63,10 +65,10 @@ def write(pages: DataFrame, path: str, *, least_bytes: int = LEAST_BYTES) -> Dat
     spark = pages.sparkSession
     C.arrow_rows(spark)
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    refs = resolve(pages, least_bytes=least_bytes).where("refers_to is not null").select("page_id", F.col("refers_to"), "payload_digest").distinct()
+    refs = resolve(pages, least_bytes=least_bytes).where("refers_to is not null").select("page_id", "refers_to", "refers_to_url", "payload_digest").distinct()
     to_write = plain.withColumn("_digest", F.sha1(F.encode("html", "UTF-8"))).join(refs.withColumnRenamed("payload_digest", "_digest"), ["page_id", "_digest"], "left")
     # The payload of a revisit is its digest and length only, from here on.
-    to_write = to_write.select("page_id", "url", "_digest", "refers_to", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), F.octet_length("html").alias("_bytes"))
+    to_write = to_write.select("page_id", "url", "_digest", "refers_to", "refers_to_url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), F.octet_length("html").alias("_bytes"))
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -77,11 +79,11 @@ def write(pages: DataFrame, path: str, *, least_bytes: int = LEAST_BYTES) -> Dat
         uri, out, stream = f"{path}/pages-{shard:06d}.warc.gz", None, None
         try:
             for b in batches:
-                for page_id, url, digest, ref, html in zip(b.page_id, b.url, b._digest, b.refers_to, b.html):
+                for page_id, url, digest, ref, to, html, size in zip(b.page_id, b.url, b._digest, b.refers_to, b.refers_to_url, b.html, b._bytes):
                     if out is None:
                         stream = (out := Output(uri)).__enter__()
                     page_id, ref = None if pd.isna(page_id) else int(page_id), None if pd.isna(ref) else int(ref)
-                    stream.write(_record(page_id, url, (html or "").encode(), digest, ref))
+                    stream.write(_record(page_id, url, (html or "").encode(), digest, ref, int(size), to))
                     n += 1
         except BaseException as error:
             if out is not None:

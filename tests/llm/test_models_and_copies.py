@@ -194,6 +194,22 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == want
 
 
+def test_warc_headers(spark, tmp_path):
+    df, rows = pages(spark)
+    warc.write(df, f"file://{tmp_path}/h")
+    found = {}
+    for p in (tmp_path / "h").glob("*.gz"):
+        with p.open("rb") as f:
+            found |= {(h["WARC-Record-ID"], h["WARC-Type"]): (h, block) for h, block in warc.records(f)}
+    h, block = found[("<urn:page:1>", "revisit")]
+    size = len(rows[0][2].encode())
+    assert h["WARC-Refers-To"] == "<urn:page:7>" and h["WARC-Refers-To-Target-URI"] == "http://b" and h["WARC-Refers-To-Date"] == warc.DATE
+    assert h["WARC-Target-URI"] == "http://a" and h["WARC-Profile"] == warc.PROFILE and int(h["Content-Length"]) == len(block)
+    assert f"Content-Length: {size}\r\n" in block.decode() and block.endswith(b"\r\n\r\n")
+    h, block = found[("<urn:page:7>", "response")]
+    assert "WARC-Refers-To" not in h and block.partition(b"\r\n\r\n")[2] == rows[0][2].encode()
+
+
 def test_warc_stores_a_payload_once(spark, tmp_path):
     df = spark.createDataFrame([(i, "u", prose(1, 3000)) for i in range(40)], "page_id long, url string, html string")
     warc.write(df, f"file://{tmp_path}/w")
