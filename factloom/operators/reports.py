@@ -119,3 +119,27 @@ def first_sources(labels: DataFrame, entries: DataFrame, k: int = 5) -> DataFram
     """vuln_id, rank, node: of the labelled nodes(node, vuln_id) that are entries(node), the k least of each label."""
     x = labels.join(entries.select("node").distinct(), "node", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("vuln_id").orderBy("node")))
     return x.where(F.col("rank") <= k).select("vuln_id", "rank", "node")
+
+
+def token_counts(pts: DataFrame, functions: DataFrame) -> DataFrame:
+    """pkg_id, file_id, tokens, n: distinct tokens and (variable, token) facts of each file, of each package and of all."""
+    x = pts.select(F.col("var_id").alias("fn_id"), "tok_id").distinct().join(functions.select("fn_id", "file_id", "pkg_id"), "fn_id")
+    return x.rollup("pkg_id", "file_id").agg(F.count_distinct("tok_id").alias("tokens"), F.count("tok_id").alias("n"))
+
+
+def vulnerability_totals(vulnerable: DataFrame, functions: DataFrame, c2f: DataFrame) -> DataFrame:
+    """One row: distinct vulnerabilities, their functions, the packages of these, and the calls of them. Each count is
+    taken on its own, so that calls and packages do not multiply."""
+    fn = vulnerable.select("fn_id").distinct()
+    packages = functions.join(fn, "fn_id", "left_semi").agg(F.count_distinct("pkg_id").alias("packages"))
+    calls = c2f.join(fn, "fn_id", "left_semi").agg(F.count_distinct("call_id").alias("calls"))
+    first = vulnerable.agg(F.count_distinct("vuln_id").alias("vulnerabilities"), F.count_distinct("fn_id").alias("functions"))
+    return first.crossJoin(packages).crossJoin(calls)  # one row each
+
+
+def solver_totals(edges: DataFrame, pts: DataFrame) -> DataFrame:
+    """One row: variables, tokens, edges, facts and the largest token set."""
+    variables = edges.select("src").union(edges.select("dst")).union(pts.select("var_id")).agg(F.count_distinct("src").alias("variables"))
+    sets = pts.groupBy("var_id").agg(F.count_distinct("tok_id").alias("k")).agg(F.max("k").alias("largest"))
+    facts = pts.distinct().agg(F.count_distinct("tok_id").alias("tokens"), F.count(F.lit(1)).alias("facts"))
+    return variables.crossJoin(facts).crossJoin(edges.distinct().agg(F.count(F.lit(1)).alias("edges"))).crossJoin(sets)  # one row each

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, fixpoint, pointsto, reports, usage, vulnerabilities
+from ..operators import compare, fixpoint, phases, pointsto, reports, usage, vulnerabilities
 from ..patterns import language
 from ..patterns.compiler import Matcher, arg_count
 from ..sources.bindings import ctes, view
@@ -201,32 +201,39 @@ def _(fn):
     return fixpoint.closure(parents, fn.select(F.col("fn_id").alias("child"), F.col("fn_id").alias("node")), labels=("child",)).withColumnRenamed("node", "ancestor")
 
 
-@register("ap_chain_two_steps", ("b_site",), "SELECT b.kind, count(*) AS n, count(DISTINCT b.node_id) AS nodes FROM b_site a JOIN b_site b ON b.base_ap = a.bp WHERE a.kind = 'read' AND a.prop < 10 AND b.kind IN ('call', 'component') GROUP BY b.kind")
+def _matcher(site):
+    """b_site as pattern facts: module names m<prop>, properties p<prop>, no sub-expression tokens but the bases."""
+    sites = site.select(F.when(F.col("kind") == "import", "module").otherwise(F.col("kind")).alias("kind"), "base_ap", F.concat(F.when(F.col("kind") == "import", "m").otherwise("p"), "prop").alias("prop"), "node_id", "bp", F.col("node_id").alias("sub_var"), F.lit(None).cast("long").alias("encl"))
+    pts = site.select(F.col("node_id").alias("var_id"), F.lit(0).alias("tok_id"), F.when(F.col("node_id") % 3 > 0, F.col("base_ap")).alias("ap_id"))
+    return Matcher(sites, pts)
+
+
+CHAIN = """c_a AS (SELECT DISTINCT bp AS ap FROM b_site WHERE kind = 'import'),
+c_b AS (SELECT DISTINCT s.bp AS ap, s.node_id % 3 > 0 AS high FROM b_site s JOIN c_a ON c_a.ap = s.base_ap WHERE s.kind = 'read' AND s.prop < 10)
+SELECT kind, high, count(*) AS n FROM (SELECT DISTINCT s.kind, s.node_id, s.bp, c_b.high AND s.node_id % 3 > 0 AS high FROM b_site s JOIN c_b ON c_b.ap = s.base_ap WHERE s.kind IN ('call', 'component')) GROUP BY kind, high"""
+
+
+@register("ap_chain_two_steps", ("b_site",), CHAIN)
 def _(site):
-    a = site.where("kind = 'read' and prop < 10").select(F.col("bp").alias("base_ap"))
-    b = site.where("kind in ('call', 'component')").select("base_ap", "kind", "node_id")
-    # Equal first steps are counted once and multiplied: the join itself stays one row a second step.
-    n = a.groupBy("base_ap").agg(F.count(F.lit(1)).alias("c"))
-    return b.join(n, "base_ap").groupBy("kind").agg(F.sum("c").alias("n"), F.count_distinct("node_id").alias("nodes"))
+    m, first = _matcher(site), language.Prop(language.Module("m*"), tuple(f"p{i}" for i in range(10)))
+    hits = [m.paths(step(first)).select(F.lit(kind).alias("kind"), "high") for kind, step in (("call", language.Result), ("component", language.Component))]
+    return hits[0].union(hits[1]).groupBy("kind", "high").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("ap_wildcard", ("b_site",), "RECURSIVE r_w AS (SELECT DISTINCT bp AS ap FROM b_site WHERE kind = 'import' AND prop < 3 UNION SELECT s.bp FROM r_w r JOIN b_site s ON s.base_ap = r.ap WHERE s.kind IN ('read', 'call') AND s.prop < 20) SELECT ap FROM r_w")
+@register("ap_wildcard", ("b_site",), "RECURSIVE r_w AS (SELECT DISTINCT node_id, bp AS ap, true AS high FROM b_site WHERE kind = 'import' AND prop = 7 UNION SELECT s.node_id, s.bp, r.high AND s.node_id % 3 > 0 FROM r_w r JOIN b_site s ON s.base_ap = r.ap WHERE s.kind IN ('read', 'call')) SELECT node_id, ap, high FROM r_w")
 def _(site):
-    edges = site.where("kind in ('read', 'call') and prop < 20").select(F.col("base_ap").alias("src"), F.col("bp").alias("dst"))
-    return fixpoint.closure(edges, site.where("kind = 'import' and prop < 3").select(F.col("bp").alias("node"))).withColumnRenamed("node", "ap")
+    return _matcher(site).paths(language.Wildcard(language.Module("m7"))).select("node_id", "ap", "high")
 
 
-def _matcher(site):
-    """b_site as pattern facts: module names m<prop>, properties p<prop>, no sub-expression tokens but the bases."""
-    sites = site.select(F.when(F.col("kind") == "import", "module").otherwise(F.col("kind")).alias("kind"), "base_ap", F.concat(F.when(F.col("kind") == "import", "m").otherwise("p"), "prop").alias("prop"), "node_id", "bp", F.col("node_id").alias("sub_var"), F.lit(None).cast("long").alias("encl"))
-    pts = site.select(F.col("node_id").alias("var_id"), F.lit(0).alias("tok_id"), F.when(F.col("node_id") % 3 > 0, F.col("base_ap")).alias("ap_id"))
-    return Matcher(sites, pts)
+@register("module_globs", ("b_site",), "SELECT DISTINCT node_id, bp AS ap, true AS high FROM b_site WHERE kind = 'import' AND (prop BETWEEN 10 AND 19 OR prop = 3)")
+def _(site):
+    return _matcher(site).paths(language.Either((language.Module("m1?"), language.Module("m3")))).select("node_id", "ap", "high")
 
 
 LEVELS = """c_m AS (SELECT DISTINCT node_id, bp AS ap, true AS high FROM b_site WHERE kind = 'import' AND prop = 7),
 c_n AS (SELECT DISTINCT node_id, bp AS ap, true AS high FROM b_site WHERE kind = 'import' AND prop = 8),
-c_s AS (SELECT s.node_id, s.bp AS ap, bool_and(m.high) AND s.node_id % 3 > 0 AS high FROM b_site s JOIN c_m m ON m.ap = s.base_ap WHERE s.kind = 'read' AND s.prop BETWEEN 0 AND 30 GROUP BY s.node_id, s.bp),
-c_t AS (SELECT s.node_id, s.bp AS ap, bool_and(m.high) AND s.node_id % 3 > 0 AS high FROM b_site s JOIN c_n m ON m.ap = s.base_ap WHERE s.kind = 'read' AND s.prop BETWEEN 20 AND 60 GROUP BY s.node_id, s.bp)"""
+c_s AS (SELECT DISTINCT s.node_id, s.bp AS ap, m.high AND s.node_id % 3 > 0 AS high FROM b_site s JOIN c_m m ON m.ap = s.base_ap WHERE s.kind = 'read' AND s.prop BETWEEN 0 AND 30),
+c_t AS (SELECT DISTINCT s.node_id, s.bp AS ap, m.high AND s.node_id % 3 > 0 AS high FROM b_site s JOIN c_n m ON m.ap = s.base_ap WHERE s.kind = 'read' AND s.prop BETWEEN 20 AND 60)"""
 P1 = language.Prop(language.Module("m7"), tuple(f"p{i}" for i in range(31)))
 P2 = language.Prop(language.Module("m8"), tuple(f"p{i}" for i in range(20, 61)))
 
@@ -241,7 +248,7 @@ def _(site):
     return _matcher(site).paths(language.Either((P1, P2))).select("node_id", "ap", "high")
 
 
-@register("pattern_exclusion", ("b_site",), f"{LEVELS} SELECT s.node_id, s.ap, s.high AND t.node_id IS NULL AS high FROM c_s s LEFT JOIN c_t t ON t.node_id = s.node_id AND t.ap = s.ap WHERE coalesce(NOT t.high, true)")
+@register("pattern_exclusion", ("b_site",), f"{LEVELS} SELECT DISTINCT s.node_id, s.ap, s.high AND NOT EXISTS (SELECT 1 FROM c_t t WHERE t.node_id = s.node_id AND t.ap = s.ap AND NOT t.high) AS high FROM c_s s WHERE NOT EXISTS (SELECT 1 FROM c_t t WHERE t.node_id = s.node_id AND t.ap = s.ap AND t.high)")
 def _(site):
     return _matcher(site).paths(language.Without(P1, P2)).select("node_id", "ap", "high")
 
@@ -320,10 +327,14 @@ def _(edge, tok):
 
 @register("patch_method_candidates", ("b_site",), "c_d AS (SELECT DISTINCT prop, bp FROM b_site WHERE kind = 'write') SELECT DISTINCT s.node_id, d.bp AS candidate FROM b_site s JOIN c_d d ON d.prop = s.prop WHERE s.kind = 'call' AND s.prop IN (SELECT prop FROM c_d GROUP BY prop HAVING count(*) <= 25)")
 def _(site):
-    stored = site.where("kind = 'write'").select("prop", "bp").distinct()
-    few = stored.groupBy("prop").agg(F.count(F.lit(1)).alias("c")).where("c <= 25").select("prop")
-    calls = site.where("kind = 'call'").select("node_id", "prop")
-    return calls.join(stored.join(few, "prop", "left_semi"), "prop").select("node_id", F.col("bp").alias("candidate")).distinct()
+    stored = site.where("kind = 'write'")
+    tok = F.concat(F.lit("f"), "bp")
+    state = {
+        "pts": stored.select(F.concat(F.lit("P:o:p"), "prop").alias("var"), tok.alias("tok")),
+        "token": stored.select(tok.alias("tok"), F.lit("function").alias("kind")).distinct(),
+        "call": site.where("kind = 'call'").select(F.col("node_id").alias("call"), F.lit("nothing").alias("base"), F.concat(F.lit("p"), "prop").alias("prop")),
+    }
+    return phases.patch_method_calls(state).select(F.col("call").alias("node_id"), F.substring("fn", 2, 20).cast("long").alias("candidate"))
 
 
 @register("advisory_affected_packages", ("b_pkg",), """c_v AS (SELECT pkg_id, CAST(split_part(version, '.', 1) AS INT) * 10000 + CAST(split_part(version, '.', 2) AS INT) * 100 + CAST(split_part(version, '.', 3) AS INT) AS v FROM b_pkg)
@@ -359,3 +370,96 @@ def _(edge, fn, pkg, vuln):
 def _(site):
     kind = F.when(F.col("prop") % 3 == 0, "function").otherwise("object")
     return reports.dynamic_writes(site.where("kind = 'write'").select(F.col("bp").alias("node_id"), kind.alias("tok_kind")))
+
+
+# Facts of the kernel made of sites and tokens: variable b<i> holds what b_tok has for i, token t is t<tok_id>.
+def _pts(tok):
+    return tok.select(F.concat(F.lit("b"), "var_id").alias("var"), F.concat(F.lit("t"), "tok_id").alias("tok"))
+
+
+def _getters(tok):
+    """Getters g0 to g9 (even ones without parameters) stored under p<tok_id % 100>, and ancestors t<tok_id - 1>."""
+    g = tok.select(F.concat_ws(":", F.lit("G"), F.concat(F.lit("t"), "tok_id"), F.concat(F.lit("p"), F.col("tok_id") % 100)).alias("var"), F.concat(F.lit("g"), F.col("tok_id") % 10).alias("tok"))
+    up = tok.select(F.concat(F.lit("X:t"), "tok_id").alias("var"), F.concat(F.lit("t"), F.col("tok_id") - 1).alias("tok"))
+    return g.union(up).distinct()
+
+
+@register("getter_edges", ("b_site", "b_tok"), """c_r AS (SELECT node_id, base_ap AS var_id, prop FROM b_site WHERE kind = 'read'),
+c_b AS (SELECT DISTINCT r.node_id, r.prop, t.tok_id FROM c_r r JOIN b_tok t ON t.var_id = r.var_id),
+c_u AS (SELECT * FROM c_b UNION SELECT b.node_id, b.prop, b.tok_id - 1 FROM c_b b JOIN (SELECT DISTINCT tok_id FROM b_tok) USING (tok_id))
+SELECT DISTINCT node_id, u.tok_id % 10 AS getter FROM c_u u JOIN (SELECT DISTINCT tok_id FROM b_tok) g ON g.tok_id = u.tok_id WHERE u.prop = u.tok_id % 100 AND u.tok_id % 2 = 0""")
+def _(site, tok):
+    reads = site.where("kind = 'read'").select(F.concat(F.lit("b"), "base_ap").alias("base"), F.concat(F.lit("p"), "prop").alias("prop"), F.col("node_id").alias("dst"))
+    getters = site.sparkSession.range(10).select(F.concat(F.lit("g"), "id").alias("tok"), F.lit("function").alias("kind"), (F.col("id") % 2).alias("params"))
+    got = phases.getter_edges({"pts": _pts(tok).union(_getters(tok)), "read": reads, "token": getters})
+    return got.select(F.col("call").alias("node_id"), F.substring("fn", 2, 9).cast("long").alias("getter"))
+
+
+@register("partial_call_edges", ("b_site", "b_tok"), "SELECT DISTINCT node_id, tok_id FROM b_site s JOIN b_tok t ON t.var_id = s.base_ap WHERE s.kind = 'call' AND t.tok_id % 3 = 0")
+def _(site, tok):
+    calls = site.where("kind = 'call'").select(F.col("node_id").alias("call"), F.concat(F.lit("b"), "base_ap").alias("callee"))
+    kinds = tok.select(F.concat(F.lit("t"), "tok_id").alias("tok"), F.when(F.col("tok_id") % 3 == 0, "function").otherwise("object").alias("kind")).distinct()
+    got = phases.partial_edges({"pts": _pts(tok), "call": calls, "token": kinds})
+    return got.select(F.col("call").alias("node_id"), F.substring("fn", 2, 20).cast("long").alias("tok_id"))
+
+
+@register("patched_dynamic_reads", ("b_site", "b_tok"), """c_w AS (SELECT DISTINCT t.tok_id FROM b_tok t JOIN b_site s ON s.base_ap = t.var_id WHERE s.kind = 'write')
+SELECT DISTINCT s.node_id FROM b_site s JOIN b_tok t ON t.var_id = s.base_ap JOIN c_w ON c_w.tok_id = t.tok_id WHERE s.kind = 'read' AND s.node_id NOT IN (SELECT var_id FROM b_tok)""")
+def _(site, tok):
+    b = lambda kind: site.where(F.col("kind") == kind).select(F.concat(F.lit("b"), "base_ap").alias("base"), F.concat(F.lit("b"), "node_id").alias("dst"))
+    return phases.patch_dynamics(_pts(tok), b("read"), b("write")).select(F.substring("var", 2, 20).cast("long").alias("node_id"))
+
+
+@register("patched_this", ("b_fn", "b_tok"), "SELECT fn_id FROM b_fn WHERE fn_id NOT IN (SELECT var_id FROM b_tok) AND fn_id % 5 <> 0")
+def _(fn, tok):
+    name = F.concat(F.lit("f"), "fn_id").alias("tok")
+    pts = tok.select(F.concat(F.lit("T:f"), "var_id").alias("var"), F.col("tok_id").cast("string").alias("tok"))
+    got = phases.patch_this({"pts": pts, "token": fn.select(name, F.lit("function").alias("kind"))}, fn.where("fn_id % 5 = 0").select(name))
+    return got.select(F.substring("var", 4, 20).cast("long").alias("fn_id"))
+
+
+@register("hinted_reads", ("b_site",), """c_h AS (SELECT DISTINCT base_ap AS loc, prop, bp AS val FROM b_site WHERE kind = 'component'),
+c_r AS (SELECT base_ap AS loc, node_id FROM b_site WHERE kind = 'read'),
+c_v AS (SELECT DISTINCT bp AS val, base_ap % 50 AS tok FROM b_site WHERE kind = 'write' AND prop % 2 = 0)
+SELECT DISTINCT node_id, tok FROM c_h JOIN c_r USING (loc) JOIN c_v USING (val) WHERE prop % 2 = 0""")
+def _(site):
+    hints, reads, values = _hint_facts(site)
+    return phases.read_hints(hints, reads, values)[0].select(F.col("var").alias("node_id"), F.col("tok"))
+
+
+@register("unused_read_hints", ("b_site",), """c_h AS (SELECT DISTINCT base_ap AS loc, prop, bp AS val FROM b_site WHERE kind = 'component')
+SELECT prop, count(*) AS n FROM c_h WHERE loc NOT IN (SELECT base_ap FROM b_site WHERE kind = 'read' AND base_ap IS NOT NULL) OR prop % 2 = 1 OR val NOT IN (SELECT bp FROM b_site WHERE kind = 'write' AND prop % 2 = 0) GROUP BY prop""")
+def _(site):
+    return phases.read_hints(*_hint_facts(site))[1].groupBy("prop").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _hint_facts(site):
+    """Hints of components, of kind Function for even properties; functions are allocated by writes of even properties."""
+    kind = lambda even: F.when(even, "Function").otherwise("Object")
+    hints = site.where("kind = 'component'").select(F.col("base_ap").alias("loc"), "prop", F.col("bp").alias("valLoc"), kind(F.col("prop") % 2 == 0).alias("valType")).distinct()
+    values = site.where("kind = 'write' and prop % 2 = 0").select(F.col("bp").alias("loc"), F.lit("Function").alias("kind"), (F.col("base_ap") % 50).alias("tok")).distinct()
+    return hints, site.where("kind = 'read'").select(F.col("base_ap").alias("loc"), F.col("node_id").alias("dst")), values
+
+
+@register("hinted_writes", ("b_site",), """c_h AS (SELECT base_ap AS base, bp AS val, prop FROM b_site WHERE kind = 'call'), c_a AS (SELECT DISTINCT base_ap AS loc, prop % 20 AS tok FROM b_site WHERE kind = 'write')
+SELECT DISTINCT CASE prop % 3 WHEN 0 THEN 'G' WHEN 1 THEN 'S' ELSE 'P' END || ':' || a.tok || ':' || prop AS var, v.tok FROM c_h JOIN c_a a ON a.loc = base JOIN c_a v ON v.loc = val""")
+def _(site):
+    made = site.where("kind = 'write'").select(F.col("base_ap").alias("loc"), F.lit("Object").alias("kind"), (F.col("prop") % 20).alias("tok")).distinct()
+    how = F.when(F.col("prop") % 3 == 0, "get").when(F.col("prop") % 3 == 1, "set").otherwise("normal")
+    hints = site.where("kind = 'call'").select(how.alias("type"), F.col("base_ap").alias("baseLoc"), F.lit("Object").alias("baseType"), "prop", F.col("bp").alias("valLoc"), F.lit("Object").alias("valType"))
+    return phases.write_hints(hints, made)
+
+
+@register("token_counts_rollup", ("b_tok", "b_fn"), "SELECT pkg_id, file_id, count(DISTINCT tok_id) AS tokens, count(*) AS n FROM b_tok t JOIN b_fn f ON f.fn_id = t.var_id GROUP BY ROLLUP (pkg_id, file_id)")
+def _(tok, fn):
+    return reports.token_counts(tok, fn)
+
+
+@register("vulnerability_totals", ("b_vuln", "b_fn", "b_c2f"), "SELECT count(DISTINCT v.vuln_id) AS vulnerabilities, count(DISTINCT v.fn_id) AS functions, count(DISTINCT f.pkg_id) AS packages, count(DISTINCT c.call_id) AS calls FROM b_vuln v LEFT JOIN b_fn f ON f.fn_id = v.fn_id LEFT JOIN b_c2f c ON c.fn_id = v.fn_id")
+def _(vuln, fn, c2f):
+    return reports.vulnerability_totals(vuln, fn, c2f)
+
+
+@register("solver_totals", ("b_edge", "b_tok"), "SELECT (SELECT count(*) FROM (SELECT src FROM b_edge UNION SELECT dst FROM b_edge UNION SELECT var_id FROM b_tok)) AS variables, (SELECT count(DISTINCT tok_id) FROM b_tok) AS tokens, (SELECT count(*) FROM b_edge) AS edges, (SELECT count(*) FROM b_tok) AS facts, (SELECT max(n) FROM (SELECT count(*) AS n FROM b_tok GROUP BY var_id)) AS largest")
+def _(edge, tok):
+    return reports.solver_totals(edge, tok)
