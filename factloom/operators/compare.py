@@ -44,8 +44,8 @@ def match_functions(a: CallGraph, b: CallGraph) -> DataFrame:
     return same_place(a.functions.join(skip, START, "left_anti"), b.functions.join(skip, START, "left_anti"))
 
 
-def included(file: Column, other: CallGraph, files: list[str], include: list[str] | None, exclude: list[str] | None) -> Column:
-    """Whether the other graph covers a file: it is one of its files, and packages are included and not excluded."""
+def included(file: Column, known: Column, other: CallGraph, include: list[str] | None, exclude: list[str] | None) -> Column:
+    """Whether the other graph covers a file: it is known, one of its files, and packages are included and not excluded."""
     inside = lambda names: F.array_contains(F.lit(names), F.regexp_extract(file, r".*node_modules/((?:@[^/]+/)?[^/]+)/", 1))
     own = ~file.contains("node_modules/")
     test = F.lit(True)
@@ -55,7 +55,7 @@ def included(file: Column, other: CallGraph, files: list[str], include: list[str
         test = inside(include) & test
     if other.ignore_dependencies:
         test = own
-    return F.array_contains(F.lit(files), file) & (own | test)
+    return known & (own | test)
 
 
 def edges_found(e1: DataFrame, e2: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
@@ -91,7 +91,8 @@ def compare(a: CallGraph, b: CallGraph) -> DataFrame:
     skip = ignored(a, b).withColumn("_i", F.lit(1))
     starts = lambda rows: rows.join(skip, START, "left").select("id", "file", F.col("_i").isNotNull().alias("skip"))
     f, c = match_functions(a, b), same_place(a.calls, b.calls)
-    files = [r[0] for r in b.files.select("file").distinct().collect()]
+    files = b.files.select("file").distinct().withColumn("_k", F.lit(True))
+    # Packages named on a command line: short lists.
     names = lambda df: None if df is None else [r[0] for r in df.collect()]
     inc, exc = names(b.include), names(b.exclude)
 
@@ -99,7 +100,8 @@ def compare(a: CallGraph, b: CallGraph) -> DataFrame:
         got = edges_found(edges, other, sources, f)
         s, d = starts(src_rows).toDF("src", "sf", "ss"), starts(a.functions).toDF("dst", "df", "ds")
         x = got.join(s, "src").join(d, "dst").where(~F.col("ds") & ~(F.col("ss") & F.lit(check_source)))
-        miss = included(F.col("sf"), b, files, inc, exc) & included(F.col("df"), b, files, inc, exc)
+        x = x.join(files.toDF("sf", "sk"), "sf", "left").join(files.toDF("df", "dk"), "df", "left")
+        miss = included(F.col("sf"), F.col("sk").isNotNull(), b, inc, exc) & included(F.col("df"), F.col("dk").isNotNull(), b, inc, exc)
         return x.agg(F.count_if("found").alias("found"), F.count_if(F.col("found") | miss).alias("total"))
 
     fun, call = counts(a.fun2fun, b.fun2fun, f, a.functions, True), counts(a.call2fun, b.call2fun, c, a.calls, False)

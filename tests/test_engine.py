@@ -180,6 +180,9 @@ def test_k_shortest_paths(spark):
     edges = spark.createDataFrame([("v", "s", "a", 1.0), ("v", "a", "target", 4.0)], "vuln_id string, src string, dst string, weight double")
     r = vulnerabilities.call_stacks(edges, spark.createDataFrame([("v", "s")], "vuln_id string, source string")).first()
     assert (r["frames"], r["confidence"]) == (["s", "a"], 0.2)
+    # Edges that leave the way, and those of another vulnerability, change nothing.
+    more = edges.union(spark.createDataFrame([("v", "a", "dead", 0.1), ("v", "x", "target", 0.1), ("u", "s", "target", 0.1), ("u", "a", "target", 0.1)], edges.schema))
+    assert [(r["frames"], r["weight"]) for r in vulnerabilities.call_stacks(more, spark.createDataFrame([("v", "s")], "vuln_id string, source string")).collect()] == [(["s", "a"], 5.0)]
 
 
 def test_affected_packages(spark):
