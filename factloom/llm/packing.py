@@ -1,50 +1,67 @@
-"""Lexical retrieval packing: a sharded BM25 index hands each seed document its unused neighbours, which fill its window."""
+"""Lexical retrieval packing: a sharded BM25 index hands each seed document its unused neighbours, which fill its window.
+
+Statistics of terms are those of the whole corpus, and documents go to shards by content: their order is that of the
+shared terms which weighted minimum hashing picks, with weights by rarity, so that documents with many rare terms in
+common are likely to stand side by side. Windows that one document fills alone need no neighbours and go nowhere; what
+is left of it, less than a window, is packed, retrieved by the terms of the whole document.
+"""
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 WINDOW, END_ID = 1024, 0
-#: UTF-8 bytes of text in one shard, about: what a task holds. Shards follow from the corpus's size, documents go by hash.
-SHARD_BYTES = 6_000_000
-#: BM25: saturation and length normalisation; the seed's rarest terms that make its query.
+#: Token ids to pack in one shard, about: what a task holds. The number of shards follows from the corpus's size.
+SHARD_TOKENS = 1_500_000
+#: BM25: saturation and length normalisation; the seed's rarest shared terms that make its query.
 K1, B, QUERY_TERMS = 1.2, 0.75, 16
+#: Minimum hashes that order documents: the later ones part what the first ones leave together.
+KEYS = 3
+
+
+def idf(df: np.ndarray, total: int) -> np.ndarray:
+    return np.log(1 + (total - df + 0.5) / (df + 0.5))
 
 
 class Bm25:
-    """An inverted index over the token ids of one shard's documents."""
-
-    def __init__(self, docs: list[np.ndarray]):
-        self.n = len(docs)
-        terms, tf, owner, self.terms = [], [], [], []
-        for i, ids in enumerate(docs):
-            t, c = np.unique(ids, return_counts=True)
-            terms.append(t)
-            tf.append(c)
-            owner.append(np.full(len(t), i, np.int32))
-            self.terms.append(t)
-        flat, count, doc = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (terms, tf, owner))
-        order = np.argsort(flat, kind="stable")
-        flat, count, self.doc = flat[order].astype(np.int64), count[order], doc[order]
+    """An inverted index over the documents of one shard: token ids, or, in bags, terms and their counts.
+
+    df by term, total and mean length are those of the corpus; without them, the shard's own."""
+
+    def __init__(self, docs: list[np.ndarray], bags: dict[int, tuple[np.ndarray, np.ndarray]] | None = None, df: np.ndarray | None = None, total: int = 0, mean: float = 0):
+        self.docs, self.bags, self.n = docs, bags or {}, len(docs)
+        plain = [x if i not in self.bags else x[:0] for i, x in enumerate(docs)]
+        sizes = np.array([len(x) for x in plain], np.int64)
+        keys = np.concatenate([*plain, np.empty(0, np.uint16)]).astype(np.int64) << 32 | np.repeat(np.arange(self.n), sizes)
+        keys, count = np.unique(keys, return_counts=True)
+        for i, (t, c) in self.bags.items():
+            keys, count, sizes[i] = np.append(keys, np.asarray(t, np.int64) << 32 | i), np.append(count, c), np.sum(c)
+        if self.bags:
+            order = np.argsort(keys)
+            keys, count = keys[order], count[order]
+        flat, self.doc = keys >> 32, (keys & 0xFFFFFFFF).astype(np.int32)
         self.starts = np.searchsorted(flat, np.arange(int(flat[-1]) + 2 if len(flat) else 1))
-        df = np.diff(self.starts)
-        self.idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
-        length = np.array([len(x) for x in docs], float)
-        norm = K1 * (1 - B + B * length / max(length.mean() if len(length) else 1, 1))
-        self.weight = self.idf[flat] * count * (K1 + 1) / (count + norm[self.doc])
+        self.near = np.diff(self.starts)
+        if df is None:
+            df, total, mean = self.near, self.n, sizes.mean() if self.n else 0
         self.df = df
+        norm = K1 * (1 - B + B * sizes / max(mean, 1))
+        self.weight = idf(df[flat], total) * count * (K1 + 1) / (count + norm[self.doc])
+
+    def terms(self, doc: int) -> np.ndarray:
+        return np.unique(self.bags[doc][0] if doc in self.bags else self.docs[doc]).astype(np.int64)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a query term with the seed, best first; ties by place."""
-        t = self.terms[seed].astype(np.int64)
-        t = t[self.df[t] > 1]
+        t = self.terms(seed)
+        t = t[self.near[t] > 1]
         if len(t) > QUERY_TERMS:
             t = t[np.argpartition(self.df[t], QUERY_TERMS - 1)[:QUERY_TERMS]]
         spans = [slice(self.starts[x], self.starts[x + 1]) for x in t.tolist()]
@@ -87,33 +104,115 @@ def pack_shard(docs: list[np.ndarray], index: Bm25, window: int = WINDOW):
             queue, at = index.neighbours(seed, unused)[: window].tolist(), 0  # a window has no room for more documents than tokens
 
 
-def pack(docs: DataFrame, *, window: int = WINDOW, end_id: int = END_ID, vocabulary: str | None = None, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of documents in sequences of at most `window` tokens: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset. A document's tokens are its text's ids and end_id; a cut document goes on in the next window.
+SPLIT = "doc_id long, n long, tail binary, terms array<int>, counts array<long>, filled array<long>"
 
-    A null text is an empty one: its document is end_id alone. Only the last sequence of a shard is not full. Rows that
-    share a doc_id are packed one by one; a null doc_id is kept and sorts first. An empty table gives no rows. Other
-    columns are not read. sequence_id is the shard's number times 2^32 plus a running number.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    total = plain.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def split(docs: DataFrame, window: int, end_id: int, vocabulary: str | None) -> DataFrame:
+    """docs(doc_id, text) → doc_id, n (tokens), tail (its ids after the last window it fills alone), filled (checksums of
+    those windows), and, if there are any, terms and counts of all its ids. Rows without n have, in terms and counts, the
+    number of documents of a partition by term."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         from .byte_bpe import encoder
 
-        pdf = pdf.sort_values(["doc_id", "text"], na_position="first", ignore_index=True)
         e = encoder(vocabulary)
         end = np.array([end_id], e.dtype)
-        ids = [np.concatenate((e.encode(t), end)) for t in pdf.text]
-        raw = [memoryview(x.astype("<u4").tobytes()) for x in ids]
-        rows = [(pdf.doc_id[d], s, n, zlib.crc32(raw[d][4 * s : 4 * (s + n)]), len(ids[d]), (int(key[0]) << 32) + q, o) for d, s, n, q, o in pack_shard(ids, Bm25(ids), window)]
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        return out.astype({"doc_id": "Int64"})
+        df = np.zeros(max(e.library.get_vocab_size(), end_id + 1), np.int64)
+        types = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tail", pa.binary()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("filled", pa.list_(pa.int64()))])
+        for b in batches:
+            ids = [np.concatenate((e.encode(t), end)) for t in b.column("text").to_pylist()]
+            sizes = [len(x) for x in ids]
+            if ids:
+                each = np.unique(np.repeat(np.arange(len(ids)), sizes) << 32 | np.concatenate(ids))
+                df += np.bincount(each & 0xFFFFFFFF, minlength=len(df))
+            bags = [np.unique(x, return_counts=True) if len(x) >= window else (None, None) for x in ids]
+            filled = [[zlib.crc32(x[i : i + window].astype("<u4").tobytes()) for i in range(0, len(x) - window + 1, window)] or None for x in ids]
+            tails = [x[len(x) // window * window :].tobytes() for x in ids]
+            columns = [b.column("doc_id"), sizes, tails, [t for t, _ in bags], [c for _, c in bags], filled]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, types)], schema=types)
+        t = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([None, None, None, t, df[t], None], types)], schema=types)
+
+    return docs.mapInArrow(run, SPLIT)
+
+
+def _ids(tail: bytes, n: int, window: int) -> np.ndarray:
+    return np.frombuffer(tail, f"<u{len(tail) // (n % window)}")
+
+
+def ordered(tails: DataFrame, df: np.ndarray, total: int, window: int) -> DataFrame:
+    """tails with keys k0, k1, ...: by each, the document's term of least exponential rank over idf. Terms of one
+    document alone are no keys."""
+    ranks = []
+    for j in range(KEYS):
+        cost = np.random.default_rng(j).exponential(size=len(df)) / idf(df, total)
+        rank = np.empty(len(df), np.int32)
+        rank[np.argsort(cost, kind="stable")] = np.arange(len(df))
+        ranks.append(np.where(df > 1, rank, len(df)).astype(np.int32))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = zip(b.column("tail").to_pylist(), b.column("n").to_pylist(), b.column("terms"))
+            bags = [np.array(t.values, np.int64) if t.is_valid else _ids(x, n, window) for x, n, t in rows]
+            starts = np.cumsum([0, *(len(x) for x in bags[:-1])])
+            flat = np.concatenate(bags)
+            keys = [pa.array(np.minimum.reduceat(r[flat], starts)) for r in ranks]
+            yield pa.RecordBatch.from_arrays([*b.columns, *keys], names=[*b.schema.names, *(f"k{j}" for j in range(KEYS))])
+
+    return tails.mapInArrow(run, "doc_id long, n long, tail binary, terms array<int>, counts array<long>, " + ", ".join(f"k{j} int" for j in range(KEYS)))
+
+
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def pack(docs: DataFrame, *, window: int = WINDOW, end_id: int = END_ID, vocabulary: str | None = None, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pieces of documents in sequences of at most `window` tokens: doc_id, start, length, ids_crc32, doc_tokens,
+    sequence_id, offset. A document's tokens are its text's ids and end_id; a cut document goes on in the next window.
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return plain.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(shards))).groupBy("shard").applyInPandas(run, schema)
+    A null text is an empty one: its document is end_id alone. Only the last sequence of a shard is not full. Rows that
+    share a doc_id are packed one by one; a null doc_id is kept and sorts first. An empty table gives no rows. Other
+    columns are not read. sequence_id is odd for windows that one document fills alone; for the others it is twice the
+    sum of the shard's number times 2^32 and a running number.
+    """
+    spark = docs.sparkSession
+    C.arrow_rows(spark)
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    made = C.stored(split(plain, window, end_id, vocabulary), "tokens")
+    total, tokens, loose = made.where("n is not null").agg(F.count("n"), F.sum("n"), F.sum(F.col("n") % window)).first()
+    # A row a term of the vocabulary at most.
+    found = made.where("n is null").select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy("t.terms").agg(F.sum("t.counts")).collect()
+    df = np.zeros(max((t for t, _ in found), default=0) + 1, np.int64)
+    for t, c in found:
+        df[t] = c
+    mean = (tokens or 0) / max(total, 1)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "tail", "terms", "counts")))]
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+        ids = [_ids(r[2], r[1], window) for r in rows]
+        raw = [memoryview(x.astype("<u4").tobytes()) for x in ids]
+        index = Bm25(ids, {i: (np.array(r[3]), np.array(r[4])) for i, r in enumerate(rows) if r[3] is not None}, df, total, mean)
+        shard = TaskContext.get().partitionId() << 32
+        out = [(rows[d][0], rows[d][1] // window * window + s, n, zlib.crc32(raw[d][4 * s : 4 * (s + n)]), rows[d][1], 2 * (shard + q), o) for d, s, n, q, o in pack_shard(ids, index, window)]
+        names = [f.split()[0] for f in PIECES.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * len(names))], names=names)
+
+    tails = made.where("length(tail) > 0").select("doc_id", "n", "tail", "terms", "counts")
+    tails = C.stored(ordered(tails, df, total, window), "tails").withColumn("row", F.monotonically_increasing_id())
+    shards = max(1, -(-(loose or 0) // shard_tokens))
+    packed = tails.repartitionByRange(shards, *[f"k{j}" for j in range(KEYS)], "row").mapInArrow(run, PIECES)
+    alone = made.select("doc_id", "n", F.posexplode("filled").alias("i", "ids_crc32"))
+    alone = alone.select("doc_id", (F.col("i").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", F.col("n").alias("doc_tokens"), (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.union(alone)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -61,16 +61,19 @@ def test_empty_table(spark, no_docs, tmp_path):
     assert packing.pack(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("window, shard_bytes", [(64, 2_000), (1024, 10_000_000)])
-def test_packing(spark, odd_docs, window, shard_bytes):
-    got = packing.pack(odd_docs, window=window, shard_bytes=shard_bytes).toPandas()
+@pytest.mark.parametrize("window, shard_tokens", [(64, 700), (1024, 3_000_000)])
+def test_packing(spark, odd_docs, window, shard_tokens):
+    got = packing.pack(odd_docs, window=window, shard_tokens=shard_tokens).toPandas()
     want = expected(odd_docs, 0)
     assert got.length.sum() == sum(len(ids) for _, ids in want)
     # Every sequence is gapless from 0, and only the last of a shard is not full.
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= window
     sums = got.groupby("sequence_id").length.sum()
-    last = sums.groupby(sums.index.to_numpy() // 2**32).apply(lambda x: x.index.max())
+    alone = sums.index.to_numpy() % 2 == 1
+    assert (sums[alone] == window).all() and got[got.sequence_id % 2 == 1].sequence_id.is_unique
+    sums = sums[~alone]
+    last = sums.groupby(sums.index.to_numpy() // 2**33).apply(lambda x: x.index.max())
     assert (sums.drop(last) == window).all()
     # Pieces give back the ids.
     pieces = {(d, s, n, c) for d, s, n, c in zip(got.doc_id, got.start, got.length, got.ids_crc32)}
@@ -89,3 +92,26 @@ def test_neighbours_come_first():
     assert index.neighbours(0, unused).tolist() == [2, 4]
     order = list(dict.fromkeys(d for d, *_ in packing.pack_shard(docs, index, 8)))
     assert order[:2] == [0, 2] and sorted(order) == [0, 1, 2, 3, 4]
+
+
+def test_index_takes_bags_and_statistics_of_the_corpus():
+    docs = [np.array(x) for x in ([1, 2, 2, 9], [9, 9, 8], [2, 5])]
+    plain = packing.Bm25(docs)
+    bags = packing.Bm25([docs[0][3:], docs[1], docs[2]], {0: (np.array([1, 2, 9]), np.array([1, 2, 1]))})
+    assert bags.weight.tolist() == plain.weight.tolist() and bags.doc.tolist() == plain.doc.tolist()
+    assert bags.neighbours(0, np.array([False, True, True])).tolist() == plain.neighbours(0, np.array([False, True, True])).tolist()
+    # Weights by hand: df, total and mean length are those given.
+    df = np.array([0, 4, 6, 0, 0, 3, 0, 0, 2, 50])
+    given = packing.Bm25(docs, df=df, total=100, mean=5)
+    want = [np.log(1 + (100 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 5)) for t, tf, n in ((1, 1, 4), (2, 2, 4), (2, 1, 2), (5, 1, 2), (8, 1, 3), (9, 1, 4), (9, 2, 3))]
+    assert np.allclose(given.weight, want)
+
+
+def test_documents_with_common_terms_share_a_shard(spark):
+    """40 topics of 12 documents, dealt at random: most documents of a topic are packed in one shard of ten."""
+    rows = [(i, prose(1000 + i % 40, 30) + " " + prose(i, 8)) for i in range(480)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=256, shard_tokens=6000).toPandas()
+    shard = (got.sequence_id // 2**33).groupby(got.doc_id).first()
+    assert shard.nunique() > 5
+    together = [shard[shard.index % 40 == t].value_counts(normalize=True).iloc[0] for t in range(40)]
+    assert sum(together) / 40 > 0.5
