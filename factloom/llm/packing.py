@@ -39,12 +39,15 @@ class Bm25:
         self.docs, self.bags, self.n = docs, bags or {}, len(docs)
         plain = [x if i not in self.bags else x[:0] for i, x in enumerate(docs)]
         sizes = np.array([len(x) for x in plain], np.int64)
-        keys = np.concatenate([*plain, np.empty(0, np.uint16)]).astype(np.int64) << 32 | np.repeat(np.arange(self.n), sizes)
-        keys, count = np.unique(keys, return_counts=True)
-        for i, (t, c) in self.bags.items():
-            keys, count, sizes[i] = np.append(keys, np.asarray(t, np.int64) << 32 | i), np.append(count, c), np.sum(c)
+        own = np.sort(np.concatenate([*plain, np.empty(0, np.uint16)]).astype(np.int64) << 32 | np.repeat(np.arange(self.n), sizes))
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        keys, count = own[first], np.diff(first, append=len(own))
         if self.bags:
-            order = np.argsort(keys)
+            kept = np.array(list(self.bags))
+            count = np.concatenate([count, *(c for _, c in self.bags.values())])
+            keys = np.concatenate([keys, np.concatenate([t for t, _ in self.bags.values()]).astype(np.int64) << 32 | np.repeat(kept, [len(t) for t, _ in self.bags.values()])])
+            sizes[kept] = [c.sum() for _, c in self.bags.values()]
+            order = np.argsort(keys, kind="stable")
             keys, count = keys[order], count[order]
         flat, self.doc = keys >> 32, (keys & 0xFFFFFFFF).astype(np.int32)
         self.starts = np.searchsorted(flat, np.arange(int(flat[-1]) + 2 if len(flat) else 1))
@@ -120,14 +123,17 @@ def split(docs: DataFrame, window: int, end_id: int, vocabulary: str | None) ->
         e = encoder(vocabulary)
         end = np.array([end_id], e.dtype)
         df = np.zeros(max(e.library.get_vocab_size(), end_id + 1), np.int64)
+        place = np.zeros_like(df)
         types = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tail", pa.binary()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("filled", pa.list_(pa.int64()))])
         for b in batches:
             ids = [np.concatenate((e.encode(t), end)) for t in b.column("text").to_pylist()]
             sizes = [len(x) for x in ids]
-            if ids:
-                each = np.unique(np.repeat(np.arange(len(ids)), sizes) << 32 | np.concatenate(ids))
-                df += np.bincount(each & 0xFFFFFFFF, minlength=len(df))
-            bags = [np.unique(x, return_counts=True) if len(x) >= window else (None, None) for x in ids]
+            bags = []
+            for x, n in zip(ids, sizes):
+                place[x] = at = np.arange(n)
+                t = x[place[x] == at]  # each term once, at its last place
+                df[t] += 1
+                bags.append((t, np.bincount(x)[t]) if n >= window else (None, None))
             filled = [[zlib.crc32(x[i : i + window].astype("<u4").tobytes()) for i in range(0, len(x) - window + 1, window)] or None for x in ids]
             tails = [x[len(x) // window * window :].tobytes() for x in ids]
             columns = [b.column("doc_id"), sizes, tails, [t for t, _ in bags], [c for _, c in bags], filled]
@@ -159,7 +165,7 @@ def ordered(tails: DataFrame, df: np.ndarray, total: int, window: int) -> DataFr
             if not b.num_rows:
                 continue
             rows = zip(b.column("tail").to_pylist(), b.column("n").to_pylist(), b.column("terms"))
-            bags = [np.array(t.values, np.int64) if t.is_valid else _ids(x, n, window) for x, n, t in rows]
+            bags = [t.values.to_numpy() if t.is_valid else _ids(x, n, window) for x, n, t in rows]
             starts = np.cumsum([0, *(len(x) for x in bags[:-1])])
             flat = np.concatenate(bags)
             keys = [pa.array(np.minimum.reduceat(r[flat], starts)) for r in ranks]
@@ -196,11 +202,14 @@ def pack(docs: DataFrame, *, window: int = WINDOW, end_id: int = END_ID, vocabul
         import pyarrow as pa
         from pyspark import TaskContext
 
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "tail", "terms", "counts")))]
+        rows = []
+        for b in batches:
+            bags = [[x.values.to_numpy() if x.is_valid else None for x in b.column(c)] for c in ("terms", "counts")]
+            rows += zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "tail")), *bags)
         rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
         ids = [_ids(r[2], r[1], window) for r in rows]
         raw = [memoryview(x.astype("<u4").tobytes()) for x in ids]
-        index = Bm25(ids, {i: (np.array(r[3]), np.array(r[4])) for i, r in enumerate(rows) if r[3] is not None}, df, total, mean)
+        index = Bm25(ids, {i: (r[3], r[4]) for i, r in enumerate(rows) if r[3] is not None}, df, total, mean)
         shard = TaskContext.get().partitionId() << 32
         out = [(rows[d][0], rows[d][1] // window * window + s, n, zlib.crc32(raw[d][4 * s : 4 * (s + n)]), rows[d][1], 2 * (shard + q), o) for d, s, n, q, o in pack_shard(ids, index, window)]
         names = [f.split()[0] for f in PIECES.split(", ")]
