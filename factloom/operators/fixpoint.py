@@ -48,9 +48,9 @@ def closure(edges: DataFrame, seeds: DataFrame, *, key: str = "node", labels: tu
     while max_rounds is None or rounds < max_rounds:
         steps, at = [], delta
         for _ in range(hops):
-            at = at.join(edges, at[key] == edges["src"]).select(*labels, F.col("dst").alias(key)).distinct()
+            at = at.join(edges, at[key] == edges["src"]).select(*labels, F.col("dst").alias(key)).distinct().join(union(parts), cols, "left_anti")
             steps.append(at)
-        new = cut(union(steps).distinct().join(union(parts), cols, "left_anti"))
+        new = cut(union(steps).distinct())
         if new.isEmpty():
             break
         parts, delta, rounds = _compact([*parts, new]), new, rounds + 1
@@ -62,6 +62,25 @@ def _compact(parts: list[DataFrame]) -> list[DataFrame]:
     return parts if len(parts) <= PARTS else [cut(union(parts))]
 
 
+def spread(edges: DataFrame, seeds: DataFrame, labels: tuple[str, ...], *, key: str = "node") -> DataFrame:
+    """As closure() with labels, over the graph of strong components: a label enters a component once, however many nodes
+    and cycles it has, and the nodes are put back at the end."""
+    edges = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    rep = cut(strong_components(edges))
+    small = condensed(edges, rep)
+    at = seeds.join(rep, seeds[key] == rep["node"], "left").select(*labels, F.coalesce(rep["component"], seeds[key]).alias("component")).distinct()
+    reached = closure(small, at, key="component", labels=labels)
+    own = rep.select(F.col("node").alias("_member"), F.col("component").alias("_of"))
+    return reached.join(own, F.col("component").eqNullSafe(F.col("_of")), "left").select(*labels, F.coalesce("_member", "component").alias(key))
+
+
+def condensed(edges: DataFrame, rep: DataFrame) -> DataFrame:
+    """edges(src, dst) between the representatives of rep(node, component); nodes without one stand for themselves, self-loops go."""
+    r = lambda c: rep.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    both = edges.join(r("src"), "src", "left").join(r("dst"), "dst", "left")
+    return both.select(F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst")).where("src <> dst").distinct()
+
+
 def hop_distances(edges: DataFrame, seeds: DataFrame, *, key: str = "node", most: int | None = None) -> DataFrame:
     """node, hops: the fewest edges from a seed, up to `most`."""
     edges = cut(edges.select("src", "dst").distinct())
@@ -82,7 +101,7 @@ def backward_labels(edges: DataFrame, hits: DataFrame, labels: tuple[str, ...],
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     if blocked is not None:
         back = back.join(blocked.select(F.col(key).alias("src")).distinct(), "src", "left_anti")
-    return closure(back, hits, key=key, labels=labels)
+    return spread(back, hits, labels, key=key)
 
 
 def connected_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -122,7 +141,7 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
             left = inner
             edges = cut(edges.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"))
         if left.isEmpty():
-            return union(done)
+            return union(done) if done else left.withColumn("component", F.col("node"))
         colour = cut(left.withColumn("colour", F.col("node")))
         while True:
             near = edges.join(colour, edges["src"] == colour["node"]).groupBy("dst").agg(F.min("colour").alias("m"))

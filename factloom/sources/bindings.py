@@ -10,10 +10,10 @@ VIEWS = {
     "b_pkg": "SELECT s_suppkey AS pkg_id, 'pkg' || CAST(s_suppkey AS STRING) AS name, CAST(s_nationkey % 4 AS STRING) || '.' || CAST(s_suppkey % 10 AS STRING) || '.' || CAST(s_suppkey % 7 AS STRING) AS version, s_suppkey % 10 = 0 AS is_entry FROM {supplier}",
     "b_fn": "SELECT p_partkey AS fn_id, p_partkey % (SELECT count(*) FROM {supplier}) AS pkg_id, p_partkey - p_partkey % 50 AS file_id, 10 * (p_partkey % 50 - p_partkey % 10) + 1 + p_partkey % 10 AS sl, 10 * (p_partkey % 50 - p_partkey % 10) + 100 - p_partkey % 10 AS el FROM {part}",
     "b_call": "SELECT o_orderkey AS call_id, o_custkey - o_custkey % 50 AS file_id, 1 + o_orderkey % 500 AS line, o_orderkey % 5 = 0 AS is_native, o_orderkey % 7 = 0 AS is_external FROM {orders}",
-    "b_c2f": "SELECT DISTINCT l_orderkey AS call_id, l_partkey AS fn_id FROM {lineitem} WHERE l_linenumber <= 2",
-    "b_edge": "SELECT DISTINCT o_custkey AS src, l_partkey AS dst FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_quantity >= 49",
-    "b_tok": "SELECT DISTINCT l_partkey AS var_id, l_suppkey AS tok_id FROM {lineitem} WHERE l_quantity = 50 AND l_linenumber = 1",
-    "b_vuln": "SELECT p_partkey AS fn_id, p_brand AS vuln_id FROM {part} WHERE p_partkey % 97 = 13",
+    "b_c2f": "SELECT DISTINCT l_orderkey AS call_id, l_partkey AS fn_id FROM {lineitem}",
+    "b_edge": "SELECT DISTINCT o_custkey AS src, l_partkey AS dst FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey",
+    "b_tok": "SELECT DISTINCT l_partkey AS var_id, l_suppkey AS tok_id FROM {lineitem}",
+    "b_vuln": "SELECT p_partkey AS fn_id, p_brand AS vuln_id FROM {part}",
     "b_site": "SELECT event_id AS node_id, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'call' WHEN 'purchase' THEN 'component' WHEN 'signup' THEN 'import' ELSE 'write' END AS kind, user_id AS base_ap, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS prop, (user_id * 31 + CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT)) % 150 AS bp FROM {events}",
 }
 

@@ -51,6 +51,22 @@ def test_condensation_keeps_the_solution(spark):
     assert {tuple(r) for r in back.collect()} == full
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_labels_spread_over_cycles(spark, seed):
+    e = graph(seed, 25, 40)
+    seeds = [("a", 0), ("b", 3), ("b", 0), ("c", 99)]  # 99 is in no edge
+    got = fixpoint.spread(spark.createDataFrame(e, "src long, dst long"), spark.createDataFrame(seeds, "k string, node long"), ("k",))
+    want = sorted((k, y) for k in "abc" for y in reach(e, {n for l, n in seeds if l == k}))
+    assert sorted((r["k"], r["node"]) for r in got.collect()) == want
+
+
+def test_labels_spread_without_edges(spark):
+    none, seeds = spark.createDataFrame([], "src long, dst long"), spark.createDataFrame([("a", 1), ("a", 1), ("b", None)], "k string, node long")
+    key = lambda r: (r["k"], r["node"])
+    assert {key(r) for r in fixpoint.spread(none, seeds, ("k",)).collect()} == {("a", 1), ("b", None)}
+    assert fixpoint.spread(none, seeds.limit(0), ("k",)).collect() == []
+
+
 def facts(spark, **rows):
     return {k: spark.createDataFrame(v, pointsto.SCHEMAS[k]) for k, v in rows.items()}
 
