@@ -252,3 +252,9 @@ def test_reports_on_empty_tables(spark):
     calls = spark.createDataFrame([(1, True, False)], "call_id long, is_native boolean, is_external boolean")
     assert [tuple(r) for r in reports.zero_callee_calls(calls, empty).collect()] == [(True, False, 1)]
     assert reports.callee_histogram(empty).count() == 0
+
+
+def test_functions_without_callers(spark):
+    fn = spark.createDataFrame([(1,), (2,), (3,)], "fn_id long")
+    edge = spark.createDataFrame([(1, 2), (1, 2), (2, 2)], "src long, dst long")
+    assert sorted(r["fn_id"] for r in reports.zero_caller_functions(fn, edge).collect()) == [1, 3]
