@@ -17,8 +17,9 @@ def test_equals_sql(spark, name):
     same(QUERIES[name](spark, SF), ORACLES[name], SF)
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_one_query_for_each_operator():
+    numbers = [int(n[2:].split("_")[0]) for n in QUERIES]
+    assert len(numbers) == len(set(numbers)) and set(range(1, 11)) <= set(numbers)
 
 
 def test_pipeline_stages(spark, tmp_path):
