@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocation, decontam, divergence, line_dedup, near_dedup, packing, quality_rules, secret_ledger, sharding, token_output, toxicity, warc
+from . import collocation, decontam, divergence, line_dedup, near_dedup, packing, quality_rules, secret_ledger, sharding, token_output, top_k, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": token_output.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_revisits": warc.op8,
     "op9_line_dedup": line_dedup.op9,
     "op10_near_dedup": near_dedup.op10,
+    "op11_top_k": top_k.op11,
     "op12_collocations": collocation.op12,
     "op13_source_divergence": divergence.op13,
 }
@@ -28,6 +29,7 @@ ORACLES: dict[str, str] = {
     "op5_decontamination": decontam.SQL,
     "op8_warc_revisits": warc.SQL,
     "op10_near_dedup": near_dedup.SQL,
+    "op11_top_k": top_k.SQL,
     "op12_collocations": collocation.SQL,
     "op13_source_divergence": divergence.SQL,
 }
