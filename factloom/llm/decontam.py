@@ -96,7 +96,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, size: int = SIZE, id_col
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, size: int = SIZE) -> DataFrame:
     """docs without the rows in which a window of an item occurs, with their own columns."""
     bad = contamination(docs, items, size=size).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("_k").alias("_h")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_h")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_h"]), "left_anti")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -206,7 +206,7 @@ def drop_near_copies(docs: DataFrame, *, size: int = SHINGLE, percent: int = PER
     """docs with one document of each component, with their own columns. Of rows that share the kept doc_id, all stay."""
     gone = link(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size=size, percent=percent).where("not kept")
     gone = gone.select("doc_id").distinct().withColumnRenamed("doc_id", "_d")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_d"]), "left_anti")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -109,8 +109,8 @@ def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray,
 
 def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", where: Column | None = None, sample: int = SAMPLE, identity=IDENTITY, fairness: float = 1.0) -> Model:
     """A model from documents joined with labels on id_col; `where` restricts the labels used. Labels that are null or
-    not 0 or 1 are left out; an id labelled more than once counts as its largest label. Without rows of both labels the
-    model scores every text near 0."""
+    not 0 or 1 are left out; an id labelled more than once counts as its largest label. Without rows of both labels,
+    and where no word tells the labels apart, the model scores every text near 0."""
     spark = docs.sparkSession
     C.arrow_rows(spark)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -140,6 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_co
     sums = sums.withColumn("g", 2 * (part("n0", n0) + part("n1", n1))).where(F.col("g") >= EVIDENCE)
     swaps = _swaps(identity)
     chosen = sums.orderBy(F.desc("g"), "f").limit(FEATURES).select("f").toArrow()["f"].to_pylist()
+    if not chosen:
+        return Model()
     number = {f: i for i, f in enumerate(dict.fromkeys(chosen + sorted(swaps)))}
 
     def design(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,13 +170,15 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", to: str = "s
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, cutoff: float = 0.5) -> DataFrame:
-    """docs without those that score cutoff or more, with their own columns."""
+    """docs without those that score cutoff or more, with their own columns. Where the labels teach nothing all stay."""
     model = train(docs, labels, where=_learned())
-    return score(docs, model, to="_score").where(F.col("_score") < cutoff).drop("_score")
+    to = next(c for i in range(len(docs.columns) + 1) if (c := f"_score{i}") not in docs.columns)
+    return score(docs, model, to=to).where(F.col(to) < cutoff).drop(to)
 
 
 def _fold() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    """A null id is of a fold of its own, which is learned from and not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5, F.lit(-1))
 
 
 def _learned() -> Column:

@@ -215,3 +215,17 @@ def test_warc_stores_a_payload_once(spark, tmp_path):
     warc.write(df, f"file://{tmp_path}/w")
     assert sum(p.stat().st_size for p in (tmp_path / "w").iterdir()) < 40 * 800
     assert warc.read(warc.write(df.limit(0), f"file://{tmp_path}/none")).count() == 0
+
+
+def test_stages_keep_clashing_columns_and_what_nothing_is_known_of(spark):
+    import corpus_pipeline as P
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long, _d long, _h long, _k long, _score0 double, _i string"
+    texts = [prose(70, 40), prose(71, 40), None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, i, i, i, 0.9, "i") for i, t in enumerate(texts)], columns)
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)  # one label of each kind teaches nothing
+    assert kept.columns == docs.columns and kept.count() == 4 and {r["_score0"] for r in kept.collect()} == {0.9}
+    assert P.decontam.drop_contaminated(docs, spark.createDataFrame([(1, texts[0])], "item_id long, text string")).columns == docs.columns
+    left = P.near_dedup.drop_near_copies(docs.union(docs.where("doc_id = 1").withColumn("doc_id", F.lit(9).cast("long"))))
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [0, 1, 2, 3]
