@@ -22,7 +22,7 @@ MAX_N, LEAST, TOP = 3, 10, 2000
 #: A score is so many times a*a/(l*r); a phrase goes if a longer one has so many per cent of its occurrences.
 SCALE, COVER = 1_000_000, 50
 #: Suffixes that a worker gathers before it counts them; bytes of text for one group of first words.
-HELD, GROUP_BYTES = 3_000_000, 12_000_000
+HELD, GROUP_BYTES = 2_000_000, 8_000_000
 #: Share of the documents, and least number, by which frequent first words are found. It decides where suffixes are
 #: counted, never what is counted.
 SAMPLE, SAMPLE_ROWS = 0.0125, 2000
@@ -40,28 +40,28 @@ class _Ids(dict):
         return i
 
 
-def _packed(codes: np.ndarray, bits: int) -> np.ndarray | None:
-    """One integer a row where the columns fit."""
-    if bits * codes.shape[1] > 63:
-        return None
-    key = codes[:, 0].astype(np.int64)
-    for j in range(1, codes.shape[1]):
-        key = (key << bits) | codes[:, j]
-    return key
-
-
-def _order(codes: np.ndarray) -> np.ndarray:
-    """Row numbers in ascending lexicographic order."""
-    key = _packed(codes, int(codes.max(initial=0)).bit_length())
-    return np.argsort(key, kind="stable") if key is not None else np.lexsort(codes.T[::-1])
-
-
-def merge(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows in ascending order with their counts added up."""
+def merge(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in ascending lexicographic order with their counts (None: one each) added up."""
+    n, bits = codes.shape[1], int(codes.max(initial=0)).bit_length()
     if not len(codes):
-        return codes, counts
-    at = _order(codes)
-    codes, counts = codes[at], counts[at]
+        return codes, np.zeros(0, np.int64)
+    if bits * n <= 63:  # a row is one integer
+        key = codes[:, 0].astype(np.int64)
+        for j in range(1, n):
+            key <<= bits
+            key |= codes[:, j]
+        if counts is None:
+            key.sort()
+        else:
+            at = np.argsort(key, kind="stable")
+            key, counts = key[at], counts[at]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        codes = np.empty((len(first), n), codes.dtype)
+        for j in range(n):
+            codes[:, j] = (key[first] >> (bits * (n - 1 - j))) & ((1 << bits) - 1)
+        return codes, np.diff(np.r_[first, len(key)]) if counts is None else np.add.reduceat(counts, first)
+    at = np.lexsort(codes.T[::-1])
+    codes, counts = codes[at], np.ones(len(codes), np.int64) if counts is None else counts[at]
     first = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]).any(axis=1)])
     return codes[first], np.add.reduceat(counts, first)
 
@@ -76,17 +76,17 @@ class Suffixes:
     def begin(self):
         self.ids, self.parts = _Ids(), []
         if self.rest:
-            self.parts.append(np.fromiter(map(self.ids.__getitem__, self.rest), np.int64, len(self.rest)))
+            self.parts.append(np.fromiter(map(self.ids.__getitem__, self.rest), np.int32, len(self.rest)))
         self.n = len(self.rest)
 
     def add(self, words: list[bytes]):
-        self.parts.append(np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)))
+        self.parts.append(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
         self.n += len(words)
 
     def take(self, last: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """words, codes, counts: 0 in a suffix ends it."""
         words = list(self.ids)
-        ids = np.concatenate([*self.parts, np.zeros(self.max_n if last else 0, np.int64)]) if self.parts else np.zeros(0, np.int64)
+        ids = np.concatenate([*self.parts, np.zeros(self.max_n if last else 0, np.int32)])
         ids = ids[ids != 1]
         whole = max(0, len(ids) - self.max_n + 1)
         self.rest = [] if last else [words[i] for i in ids[whole:]]
@@ -95,7 +95,7 @@ class Suffixes:
         for j in range(1, self.max_n):
             codes[codes[:, j - 1] == 0, j] = 0
         self.begin()
-        return words, *merge(codes, np.ones(len(codes), np.int64))
+        return words, *merge(codes)
 
 
 def prefix_counts(codes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -192,13 +192,13 @@ def count_prefixes(blobs: DataFrame, max_n: int, least: int) -> DataFrame:
         ids, codes, counts = _Ids(), [], []
         for words, c, n in zip(*(group.column(k) for k in ("words", "codes", "counts"))):
             words = words.as_py().split(b"\n")
-            own = np.fromiter(map(ids.__getitem__, [b"\n", *words]), np.int64, len(words) + 1)
+            own = np.fromiter(map(ids.__getitem__, [b"\n", *words]), np.int32, len(words) + 1)
             codes.append(own[np.frombuffer(c.as_buffer(), "<u4").reshape(max_n, -1).T])
             counts.append(np.frombuffer(n.as_buffer(), "<i8"))
         names = list(ids)
         # Ranks in place of numbers, so that the order of codes is that of the words; what ends a suffix comes first.
         order = sorted(range(2, len(names)), key=names.__getitem__)
-        rank = np.zeros(len(names), np.int64)
+        rank = np.zeros(len(names), np.int32)
         rank[order] = np.arange(1, len(order) + 1)
         codes, counts = merge(rank[np.concatenate(codes)], np.concatenate(counts))
         codes, counts = codes[::-1], counts[::-1]
