@@ -84,7 +84,7 @@ def shares(counts: np.ndarray, total: np.ndarray, terms: int, prior: int, scale:
 def pair_sums(a: np.ndarray, b: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
     """Of rows i of a and j of b the sum of absolute differences, some rows of a at a time."""
     step = max(1, cells // max(1, b.size))
-    return np.concatenate([np.abs(a[i : i + step, None, :] - b[None, :, :]).sum(axis=2) for i in range(0, len(a), step)])
+    return np.concatenate([np.zeros((0, len(b)), np.int64)] + [np.abs(a[i : i + step, None, :] - b[None, :, :]).sum(axis=2) for i in range(0, len(a), step)])
 
 
 def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, prior: int = PRIOR, scale: int = SCALE, terms: int = TERMS, sources: int = SOURCES) -> DataFrame:
@@ -122,8 +122,16 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, prior: i
     columns = columns.select("lang", "t", "i", "j", F.lit(None).cast("long").alias("b"), F.lit(None).cast("string").alias("source"), "term", "n")
     rows = meet(groups.join(size, "lang").withColumn("t", blocks("t_blocks")), "source", "total", "lang_total", "n_terms")
 
+    def table(lang: str, out: list[tuple]) -> pd.DataFrame:
+        """out: (sources, part, items, values)."""
+        join = lambda k, kind: np.concatenate([np.empty(0, kind), *(x[k] for x in out)]).astype(kind)
+        part = np.repeat(np.array([x[1] for x in out], object), [len(x[0]) for x in out])
+        return pd.DataFrame({"lang": np.full(len(part), lang, object), "source": join(0, object), "part": part, "item": join(2, object), "value": join(3, np.int64)})
+
     def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """left: kept terms (without a source) and counts; right: the sources of both blocks."""
+        if right.empty:  # no source fell into either block
+            return table("", [])
         lang, i, j = right.lang.iloc[0], right.i.iloc[0], right.j.iloc[0]
         wide, lang_total = int(right.n_terms.iloc[0]), int(right.lang_total.iloc[0])
         head = left[left.source.isna()]
@@ -141,7 +149,7 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, prior: i
         out = []
         for x, y in ((a, b), (b, a))[: 1 if i == j else 2]:
             apart = (x != y).ravel()
-            out.append(pd.DataFrame({"source": source[x.ravel()[apart]], "part": "pair", "item": [s.encode() for s in source[y.ravel()[apart]]], "value": sums.ravel()[apart]}))
+            out.append((source[x.ravel()[apart]], "pair", np.array([s.encode() for s in source[y.ravel()[apart]]], object), sums.ravel()[apart]))
         if i == j and len(names):
             more = p - shares(head.n.to_numpy(np.int64), np.int64(lang_total), wide, prior, scale)
             more[matrix == 0] = 0
@@ -150,8 +158,8 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, prior: i
                 if len(best) > top:
                     best = best[more[k, best] >= np.partition(more[k, best], -top)[-top]]
                 best = sorted(best, key=lambda c: (-more[k, c], names[c]))[:top]
-                out.append(pd.DataFrame({"source": source[k], "part": "term", "item": names[best], "value": more[k, best]}))
-        return pd.concat(out, ignore_index=True).assign(lang=lang)[["lang", "source", "part", "item", "value"]]
+                out.append((np.full(len(best), source[k], object), "term", names[best], more[k, best]))
+        return table(lang, out)
 
     key = ["lang", "t", "i", "j"]
     made = cells.unionByName(columns).groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(tile, "lang string, source string, part string, item binary, value long")
