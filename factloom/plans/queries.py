@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import compare, fixpoint, phases, pointsto, reports, usage, vulnerabilities
 from ..patterns import language
 from ..patterns.compiler import Matcher, arg_count
+from ..sources import resolution
 from ..sources.bindings import ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -463,3 +464,18 @@ def _(vuln, fn, c2f):
 @register("solver_totals", ("b_edge", "b_tok"), "SELECT (SELECT count(*) FROM (SELECT src FROM b_edge UNION SELECT dst FROM b_edge UNION SELECT var_id FROM b_tok)) AS variables, (SELECT count(DISTINCT tok_id) FROM b_tok) AS tokens, (SELECT count(*) FROM b_edge) AS edges, (SELECT count(*) FROM b_tok) AS facts, (SELECT max(n) FROM (SELECT count(*) AS n FROM b_tok GROUP BY var_id)) AS largest")
 def _(edge, tok):
     return reports.solver_totals(edge, tok)
+
+
+#: What each kind of manifest gives for each kind of request of b_request.
+TARGET = "CASE WHEN style = 3 THEN to_id WHEN style = 0 THEN to_pkg WHEN to_pkg % 5 = 0 THEN to_id WHEN to_pkg % 5 = 1 AND style = 1 THEN to_id WHEN to_pkg % 5 = 2 AND style = 2 AND CAST(to_id AS STRING) NOT LIKE '1%' THEN to_id END"
+
+
+def _resolved(request, module, manifest):
+    files = module.select("path").union(manifest.select("path"))
+    return resolution.resolve(request.select("path", "spec", "mode"), files, resolution.manifests(manifest))
+
+
+@register("module_resolution", ("b_request", "b_module", "b_manifest"), f"""c_t AS (SELECT DISTINCT path, spec, mode, {TARGET} AS t FROM b_request)
+SELECT c_t.path, spec, mode, m.path AS target, CASE WHEN t IS NULL THEN 'missing' ELSE 'file' END AS outcome FROM c_t LEFT JOIN b_module m ON m.module_id = t""")
+def _(request, module, manifest):
+    return _resolved(request, module, manifest)

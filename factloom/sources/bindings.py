@@ -15,6 +15,19 @@ VIEWS = {
     "b_tok": "SELECT DISTINCT l_partkey AS var_id, l_suppkey AS tok_id FROM {lineitem}",
     "b_vuln": "SELECT p_partkey AS fn_id, p_brand AS vuln_id FROM {part}",
     "b_site": "SELECT event_id AS node_id, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'call' WHEN 'purchase' THEN 'component' WHEN 'signup' THEN 'import' ELSE 'write' END AS kind, user_id AS base_ap, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS prop, (user_id * 31 + CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT)) % 150 AS bp FROM {events}",
+    # A tree of packages: a supplier is a package of one of five kinds of manifest, a part a module of it, and a line of an
+    # order a request from its part's module for another: by the package's name alone, by name and path without and with
+    # an extension, or by a relative path.
+    "b_module": "SELECT p_partkey AS module_id, p_partkey % (SELECT count(*) FROM {supplier}) AS pkg_id, '/app/node_modules/p' || (p_partkey % (SELECT count(*) FROM {supplier})) || '/lib/m' || p_partkey || '.js' AS path FROM {part}",
+    "b_manifest": "SELECT '/app/node_modules/p' || s_suppkey || '/package.json' AS path, chr(123) || '\"name\": \"p' || s_suppkey || '\", ' || CASE s_suppkey % 5 "
+    "WHEN 0 THEN '\"main\": \"lib/m' || s_suppkey || '.js\"' "
+    "WHEN 1 THEN '\"exports\": ' || chr(123) || '\".\": ' || chr(123) || '\"import\": \"./lib/m' || s_suppkey || '.js\", \"require\": \"./lib/m' || s_suppkey || '.js\"' || chr(125) || ', \"./lib/*\": \"./lib/*.js\"' || chr(125) "
+    "WHEN 2 THEN '\"exports\": ' || chr(123) || '\".\": [\"bad\", \"./lib/m' || s_suppkey || '.js\"], \"./lib/*.js\": \"./lib/*.js\", \"./lib/m1*\": null' || chr(125) "
+    "WHEN 3 THEN '\"exports\": \"./lib/m' || s_suppkey || '.js\"' ELSE '\"exports\": ' || chr(123) || '\"require\": \"./lib/m' || s_suppkey || '.js\"' || chr(125) END || chr(125) AS content FROM {supplier}",
+    "b_request": "SELECT DISTINCT '/app/node_modules/p' || (l_partkey % ns) || '/lib/m' || l_partkey || '.js' AS path, l_partkey AS from_id, l_orderkey % np AS to_id, (l_orderkey % np) % ns AS to_pkg, l_linenumber % 4 AS style, "
+    "CASE l_linenumber % 4 WHEN 0 THEN 'p' || ((l_orderkey % np) % ns) WHEN 1 THEN 'p' || ((l_orderkey % np) % ns) || '/lib/m' || (l_orderkey % np) WHEN 2 THEN 'p' || ((l_orderkey % np) % ns) || '/lib/m' || (l_orderkey % np) || '.js' "
+    "ELSE '../../p' || ((l_orderkey % np) % ns) || '/lib/m' || (l_orderkey % np) END AS spec, CASE WHEN l_suppkey % 2 = 0 THEN 'module' ELSE 'commonjs' END AS mode "
+    "FROM {lineitem}, (SELECT count(*) AS ns FROM {supplier}) AS c_s, (SELECT count(*) AS np FROM {part}) AS c_p",
 }
 
 
