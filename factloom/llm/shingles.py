@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Word hashes kept by a worker; fixed size, so that memory does not follow the corpus.
-MEMO = 500_000
+MEMO = 100_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
