@@ -8,11 +8,12 @@ deltas the number of jobs, not of rows, is what costs.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Joins unrolled in one round of a closure.
@@ -21,10 +22,19 @@ HOPS = 4
 PARTS = 8
 
 
-def cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder of checkpoints, which all executors see."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+        shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared and sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="factloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    _shared(df.sparkSession)
     # A checkpoint carries its plan's constraints over to the new attributes, which fails where a self-join renamed them.
     conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
     before = conf.get(key)
@@ -159,29 +169,101 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
 
 @dataclass(frozen=True)
 class Rule:
-    """derive(inputs) → derived relations; inputs holds each relation of `body`. The driver calls it once for each body
-    relation that changed, with that one's new rows and all rows of the others."""
+    """derive(inputs) → derived relations; inputs holds each entry of `body`. An entry is a relation's name, or name@x for a
+    further use of the same relation: each use is a relation of its own to the driver, which calls the rule once for each
+    entry that changed, with that one's new rows and all rows of the others."""
 
     name: str
     body: tuple[str, ...]
     derive: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
 
 
-def solve(seeds: dict[str, DataFrame], rules: list[Rule], *, max_waves: int | None = None, on_wave: Callable[[int, dict[str, int]], None] | None = None) -> dict[str, DataFrame]:
-    """The least fixpoint of rules over the relations in seeds. max_waves stops early; the result is then partial."""
-    total = {k: cut(v.distinct()) for k, v in seeds.items()}
-    delta, wave = {k: v for k, v in total.items() if not v.isEmpty()}, 0
-    while delta and (max_waves is None or wave < max_waves):
+class Solution(dict):
+    """Relations by name. pending: rows that rules have not seen yet, where solving stopped early; waiting: rows that
+    bounded rules have not seen. solve() takes both up again. Neither has anything to do with what is derived already:
+    every row in the relations holds."""
+
+    def __init__(self, relations=(), pending=(), waiting=(), rounds: int = 0):
+        super().__init__(relations)
+        self.pending, self.waiting, self.rounds = dict(pending), dict(waiting), rounds
+
+
+#: Waves of fewer rows run interpreted: compiling classes for their many short stages would take longer than the rows do.
+SHORT = 100_000
+
+
+def _together(frames: dict[str, DataFrame], last: int) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """All frames and their sizes, written by one job, a folder a relation; those without rows are left out. Files have
+    sizes, by which the planner broadcasts what is small; a checkpoint has none. last: rows that the wave before had."""
+    kinds, spark = {k: v.schema for k, v in frames.items()}, next(iter(frames.values())).sparkSession
+    rows = [v.select(F.lit(k).alias("_of"), *[(F.struct(*v.columns) if j == k else F.lit(None).cast(kinds[j])).alias(j) for j in frames]) for k, v in frames.items()]
+    path, key = f"{_shared(spark)}/{uuid.uuid4().hex}", "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false" if last < SHORT else before)
+    try:
+        (made := union(rows)).write.partitionBy("_of").parquet(path)
+        made = spark.read.schema(made.schema).parquet(path)
+        sizes = {r["_of"]: r["count"] for r in made.groupBy("_of").count().collect()}  # a row a relation
+    finally:
+        spark.conf.set(key, before)
+    return {k: made.where(F.col("_of") == k).select(f"{k}.*") for k in frames if k in sizes}, sizes
+
+
+def solve(
+    seeds: dict[str, DataFrame], rules: list[Rule], *, known: Solution | None = None, bounded: frozenset[str] = frozenset(), max_rounds: int | None = None, max_waves: int | None = None,
+    on_wave: Callable[[int, dict[str, int]], None] | None = None,
+) -> Solution:
+    """The least fixpoint of rules over the relations in seeds, semi-naive: a wave joins only what the wave before derived.
+
+    known: an earlier solution to which seeds are added; only rows that it lacks count as new, so that a call without news
+    runs no rule. max_waves stops early, with a part of the fixpoint that a later call completes. bounded: names of rules
+    that run only between fixpoints of the others, max_rounds times in all; round r sees what needs r - 1 earlier rounds,
+    so that a row is there if and only if some derivation of it has at most max_rounds such steps one upon another. Rows
+    are compared with nulls equal to nulls.
+    """
+    known = known or Solution()
+    parts = {k: [known[k]] if k in known else [] for k in {**known, **seeds}}
+    shape = {k: (known[k] if k in known else seeds[k]) for k in parts}
+    new = {k: (v.select(*shape[k].columns).subtract(known[k]) if k in known else v.distinct()) for k, v in seeds.items()}
+    new, sizes = _together(new, SHORT) if new else ({}, {})
+    total = lambda k: union(parts[k]) if parts[k] else shape[k].limit(0)
+    more = lambda old, k, v: union([old[k], v]) if k in old else v
+    waiting, wave, rounds = dict(known.waiting), 0, known.rounds
+    delta = {k: v for k, v in known.pending.items()}
+
+    def add(fresh: dict[str, DataFrame]) -> None:
+        nonlocal delta, waiting
+        for k, v in fresh.items():
+            parts[k] = _compact([*parts[k], v])
+        delta = {k: more(delta, k, fresh[k]) if k in fresh else delta[k] for k in {**delta, **fresh}}
+        if bounded:
+            waiting = {k: more(waiting, k, fresh[k]) if k in fresh else waiting[k] for k in {**waiting, **fresh}}
+
+    def derive(now: list[Rule], changed: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        nonlocal sizes
         made: dict[str, list[DataFrame]] = {}
-        for rule in rules:
-            for changed in (b for b in dict.fromkeys(rule.body) if b in delta):
-                inputs = {b: delta[b] if b == changed else total[b] for b in rule.body}
+        for rule in now:
+            for use in rule.body:
+                if use.partition("@")[0] not in changed:
+                    continue
+                inputs = {b: changed[b.partition("@")[0]] if b == use else total(b.partition("@")[0]) for b in rule.body}
                 for k, v in rule.derive(inputs).items():
-                    made.setdefault(k, []).append(v.select(*total[k].columns))
-        new = {k: cut(union(v).distinct().join(total[k], total[k].columns, "left_anti")) for k, v in made.items()}
-        delta = {k: v for k, v in new.items() if not v.isEmpty()}
-        total |= {k: cut(total[k].unionByName(v)) for k, v in delta.items()}
+                    made.setdefault(k, []).append(v.select(*shape[k].columns))
+        out, sizes = _together({k: union(v).subtract(total(k)) for k, v in made.items()}, sum(sizes.values())) if made else ({}, {})
+        return out
+
+    add(new)
+    while True:
+        if delta and (max_waves is None or wave < max_waves):
+            changed, delta = delta, {}
+            fresh = derive([r for r in rules if r.name not in bounded], changed)
+        elif not delta and waiting and bounded and (max_rounds is None or rounds < max_rounds):
+            changed, waiting, rounds = waiting, {}, rounds + 1
+            fresh = derive([r for r in rules if r.name in bounded], changed)
+        else:
+            break
+        add(fresh)
         wave += 1
         if on_wave:
-            on_wave(wave, {k: v.count() for k, v in delta.items()})
-    return total
+            on_wave(wave, sizes)
+    return Solution({k: total(k) for k in parts}, delta, waiting, rounds)

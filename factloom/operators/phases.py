@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fixpoint import closure
-from .pointsto import var
+from .pointsto import slots, var
 
 #: More candidates than this for one method name, and none is used.
 CANDIDATES = 25
@@ -22,19 +22,19 @@ def escaping(state: dict[str, DataFrame], exported: DataFrame) -> DataFrame:
     """pts facts that put UNKNOWN into parameters, this and properties of what leaves the program. exported(var): variables
     of exports and of what is passed to external code. Objects are followed by properties, functions by returns."""
     pts, token = state["pts"], state["token"].where("kind <> 'ap'").select("tok", "kind", "params")
-    prop = pts.where("var like 'P:%'").select(F.regexp_extract("var", "^P:(.*):([^:]*)$", 1).alias("src"), F.col("tok").alias("dst")).where("src <> ''")
-    ret = pts.where("var like 'R:%'").select(F.regexp_extract("var", "^R:(.*)$", 1).alias("src"), F.col("tok").alias("dst"))
+    prop = slots(pts, "P", "src", "p").select("src", F.col("tok").alias("dst"))
+    ret = slots(pts, "R", "src").select("src", F.col("tok").alias("dst"))
     seeds = pts.join(exported.select("var").distinct(), "var", "left_semi").select(F.col("tok").alias("node"))
     out = closure(prop.union(ret), seeds).join(token.withColumnRenamed("tok", "node"), "node")
     f = out.where("kind = 'function'")
     unknown = F.lit(UNKNOWN).alias("tok")
-    slots = f.where("params > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("params") - 1))).select(var("A", "node", "i").alias("var"), unknown)
+    taken = f.where("params > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("params") - 1))).select(var("A", "node", "i").alias("var"), unknown)
     this = f.select(var("T", "node").alias("var"), unknown)
     # What is read of an escaped object and has no value yet may come from outside.
     wanted = state["read_result"].withColumn("var", var("V", "tok", "prop"))
     empty = wanted.join(pts.select("var").distinct(), "var", "left_anti")
     props = empty.join(out.select(F.col("node").alias("tok")).distinct(), "tok", "left_semi").select(var("P", "tok", "prop").alias("var"), F.lit(UNKNOWN).alias("tok"))
-    return slots.union(this).union(props).distinct()
+    return taken.union(this).union(props).distinct()
 
 
 def patch_dynamics(pts: DataFrame, empty_reads: DataFrame, dynamic_writes: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def patch_method_calls(state: dict[str, DataFrame], *, most: int = CANDIDATES, c
     """edge facts: a method call whose base is empty gets all functions stored under the method's name, if these are at
     most `most` and the name is not a common one."""
     pts = state["pts"]
-    stored = pts.where("var like 'P:%'").select(F.regexp_extract("var", "^P:.*:([^:]*)$", 1).alias("prop"), F.col("tok").alias("fn"))
+    stored = slots(pts, "P", "of", "prop").select("prop", F.col("tok").alias("fn"))
     stored = stored.where(~F.col("prop").isin(list(common))).join(state["token"].where("kind = 'function'").select(F.col("tok").alias("fn")), "fn", "left_semi").distinct()
     few = stored.groupBy("prop").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= most).select("prop")
     calls = state["call"].where("base is not null and prop is not null").join(pts.select(F.col("var").alias("base")).distinct(), "base", "left_anti")
@@ -71,7 +71,7 @@ def getter_edges(state: dict[str, DataFrame]) -> DataFrame:
     pts = state["pts"]
     base = state["read"].join(pts.select(F.col("var").alias("base"), "tok"), "base").select("dst", "prop", "tok")
     up = base.withColumn("x", var("X", "tok")).join(pts.select(F.col("var").alias("x"), F.col("tok").alias("u")), "x").select("dst", "prop", F.col("u").alias("tok"))
-    g = pts.where("var like 'G:%'").select(F.regexp_extract("var", "^G:(.*):([^:]*)$", 1).alias("tok"), F.regexp_extract("var", "^G:(.*):([^:]*)$", 2).alias("prop"), F.col("tok").alias("fn"))
+    g = slots(pts, "G", "of", "prop").select(F.col("of").alias("tok"), "prop", F.col("tok").alias("fn"))
     g = g.join(state["token"].where("kind = 'function' and params = 0").select(F.col("tok").alias("fn")), "fn", "left_semi")
     return base.union(up).distinct().join(g, ["tok", "prop"]).select(F.col("dst").alias("call"), "fn").distinct()
 
@@ -96,7 +96,7 @@ def write_hints(hints: DataFrame, allocations: DataFrame) -> DataFrame:
     a = lambda p: allocations.select(F.col("loc").alias(f"{p}Loc"), F.col("kind").alias(f"{p}Type"), F.col("tok").alias(f"{p}_tok"))
     x = hints.join(a("base"), ["baseLoc", "baseType"]).join(a("val"), ["valLoc", "valType"])
     kind = F.when(F.col("type") == "get", "G").when(F.col("type") == "set", "S").otherwise("P")
-    return x.select(F.concat_ws(":", kind, "base_tok", "prop").alias("var"), F.col("val_tok").alias("tok")).distinct()
+    return x.select(var(kind, "base_tok", "prop").alias("var"), F.col("val_tok").alias("tok")).distinct()
 
 
 def require_hints(hints: DataFrame, requires: DataFrame) -> DataFrame:
