@@ -33,6 +33,10 @@ def _shared(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    return f"{_shared(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     _shared(df.sparkSession)
     # A checkpoint carries its plan's constraints over to the new attributes, which fails where a self-join renamed them.
@@ -197,7 +201,7 @@ def _together(frames: dict[str, DataFrame], last: int) -> tuple[dict[str, DataFr
     sizes, by which the planner broadcasts what is small; a checkpoint has none. last: rows that the wave before had."""
     kinds, spark = {k: v.schema for k, v in frames.items()}, next(iter(frames.values())).sparkSession
     rows = [v.select(F.lit(k).alias("_of"), *[(F.struct(*v.columns) if j == k else F.lit(None).cast(kinds[j])).alias(j) for j in frames]) for k, v in frames.items()]
-    path, key = f"{_shared(spark)}/{uuid.uuid4().hex}", "spark.sql.codegen.wholeStage"
+    path, key = fresh_folder(spark), "spark.sql.codegen.wholeStage"
     before = spark.conf.get(key)
     spark.conf.set(key, "false" if last < SHORT else before)
     try:

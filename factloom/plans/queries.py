@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, fixpoint, phases, pointsto, reports, usage, vulnerabilities
+from ..operators import compare, fixpoint, phases, pointsto, reports, usage, vulnerabilities, worklist
 from ..patterns import language
 from ..patterns.compiler import Matcher, arg_count
 from ..sources import resolution
@@ -479,3 +479,42 @@ def _resolved(request, module, manifest):
 SELECT c_t.path, spec, mode, m.path AS target, CASE WHEN t IS NULL THEN 'missing' ELSE 'file' END AS outcome FROM c_t LEFT JOIN b_module m ON m.module_id = t""")
 def _(request, module, manifest):
     return _resolved(request, module, manifest)
+
+
+HEAP = """c_edge AS (SELECT a.module_id AS src, b.module_id AS dst FROM b_heap a JOIN b_heap b ON b.cust = a.cust AND b.r IN (2 * a.r, 2 * a.r + 1)
+UNION SELECT j.src, h.module_id FROM b_jump j JOIN b_heap h ON h.cust = j.cust AND h.r = 1)"""
+
+
+def _heap_program(heap, jump):
+    """The heap as facts of modules: a module's exports hold a token named after it, and results of requires hold those."""
+    path = lambda m: F.concat(F.lit("/app/m"), m.cast("string"), F.lit(".js"))
+    spec = lambda m: F.concat(F.lit("./m"), m.cast("string"))
+    below = heap.alias("a").join(heap.select(F.col("module_id").alias("dst"), F.col("cust").alias("c"), F.explode(F.array(F.floor(F.col("r") / 2))).alias("up")).alias("b"), F.expr("b.c = a.cust and b.up = a.r")).select(F.col("module_id").alias("src"), "dst")
+    jumps = jump.join(heap.where("r = 1").select("cust", F.col("module_id").alias("dst")), "cust").select("src", "dst", "is_dynamic")
+    edges = below.withColumn("is_dynamic", F.lit(False)).unionByName(jumps)
+    said = edges.select(path(F.col("src")).alias("module"), spec(F.col("dst")).alias("spec"), F.lit("commonjs").alias("mode"), F.concat(F.lit("n:"), F.col("src").cast("string")).alias("result"), F.concat(F.lit("n:s"), F.col("src").cast("string")).alias("var"), "is_dynamic")
+    own = heap.select(path(F.col("module_id")).alias("module"), pointsto.var("P", F.concat(F.lit("module "), path(F.col("module_id"))), F.lit("exports")).alias("var"), F.col("module_id").cast("string").alias("tok"))
+    late = said.where("is_dynamic")
+    pts = own.union(late.select("module", "var", F.col("spec").alias("tok")))
+    token = own.select("module", "tok", F.lit("object").alias("kind")).union(late.select("module", F.col("spec").alias("tok"), F.lit("string").alias("kind"))).withColumn("params", F.lit(None).cast("int"))
+    request = said.where("not is_dynamic").select("module", "spec", "mode", "result")
+    return {"pts": pts, "token": token, "request": request, "dynamic": late.select("module", "mode", "var", "result")}, heap.select(path(F.col("module_id")).alias("path"))
+
+
+@register("module_worklist", ("b_heap", "b_jump"), f"""RECURSIVE {HEAP}, r_reach AS (SELECT module_id AS node FROM b_heap WHERE r = 1 AND cust % 10 = 0 UNION SELECT e.dst FROM r_reach r JOIN c_edge e ON e.src = r.node)
+SELECT DISTINCT e.src AS module_id, e.dst AS target_id FROM r_reach JOIN c_edge e ON e.src = r_reach.node""")
+def _(heap, jump):
+    """What the result of each module's requires holds at the end, for the modules that are reached."""
+    facts, files = _heap_program(heap, jump)
+    store = worklist.Store.write(facts, fixpoint.fresh_folder(heap.sparkSession))
+    files = fixpoint.cut(files)
+    no_manifests = heap.sparkSession.createDataFrame([], f"dir string, {resolution.MANIFEST}")
+
+    def resolve(requests):
+        at = requests.select("*", F.concat(resolution.folder(F.col("path")), F.lit("/"), "spec").alias("at"))
+        found = resolution.first_file(at, files, no_manifests, ("path", "spec", "mode"), loadable=resolution.LOADABLE)
+        return requests.join(found, ["path", "spec", "mode"], "left").withColumn("outcome", F.when(F.col("target").isNull(), "unresolved").otherwise("file"))
+
+    entries = heap.where("r = 1 and cust % 10 = 0").select(F.concat(F.lit("/app/m"), F.col("module_id").cast("string"), F.lit(".js")).alias("module"))
+    pts = worklist.analyse(store, entries, resolve).solution["pts"]
+    return pts.where("var like 'n:%' and var not like 'n:s%'").select(F.substring("var", 3, 30).cast("long").alias("module_id"), F.col("tok").cast("long").alias("target_id"))

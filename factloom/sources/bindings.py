@@ -28,6 +28,10 @@ VIEWS = {
     "CASE l_linenumber % 4 WHEN 0 THEN 'p' || ((l_orderkey % np) % ns) WHEN 1 THEN 'p' || ((l_orderkey % np) % ns) || '/lib/m' || (l_orderkey % np) WHEN 2 THEN 'p' || ((l_orderkey % np) % ns) || '/lib/m' || (l_orderkey % np) || '.js' "
     "ELSE '../../p' || ((l_orderkey % np) % ns) || '/lib/m' || (l_orderkey % np) END AS spec, CASE WHEN l_suppkey % 2 = 0 THEN 'module' ELSE 'commonjs' END AS mode "
     "FROM {lineitem}, (SELECT count(*) AS ns FROM {supplier}) AS c_s, (SELECT count(*) AS np FROM {part}) AS c_p",
+    # A sparse program of modules that uses every order: a customer's orders are a heap by number, each requires the two
+    # below it; some require the head of another customer's heap, a few of them by a specifier that only solving finds.
+    "b_heap": "SELECT o_orderkey AS module_id, o_custkey AS cust, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM {orders}",
+    "b_jump": "SELECT o_orderkey AS src, (o_custkey + 7) % (SELECT count(*) FROM {customer}) AS cust, o_orderkey % 62 = 0 AS is_dynamic FROM {orders} WHERE o_orderkey % 31 = 0",
 }
 
 

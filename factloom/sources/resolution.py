@@ -181,8 +181,8 @@ def first_file(wanted: DataFrame, files: DataFrame, packages: DataFrame, key: tu
     of_folder = [main] + [F.concat(main, F.lit(e)) for e in loadable] + [F.concat(main, F.lit(f"/index{e}")) for e in loadable]
     of_folder += [F.when(F.col("typed"), F.concat("at", F.lit(f"/index{e}"))).otherwise(none) for e in TYPED] + [F.concat("at", F.lit(f"/index{e}")) for e in loadable]
     tries = F.array(*[F.when(~F.col("only_folder"), c) for c in of_file], *of_folder)
-    x = at.select(*key, F.posexplode(tries).alias("turn", "path")).where("path is not null").join(files.select("path"), "path", "left_semi")
-    return x.groupBy(*key).agg(F.min_by("path", "turn").alias("target"))
+    x = at.select(*key, F.posexplode(tries).alias("_turn", "_file")).where("_file is not null").join(files.select(F.col("path").alias("_file")), "_file", "left_semi")
+    return x.groupBy(*key).agg(F.min_by("_file", "_turn").alias("target"))
 
 
 def bare(wanted: DataFrame, files: DataFrame, packages: DataFrame, leaves: DataFrame) -> DataFrame:
