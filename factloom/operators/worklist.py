@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .fixpoint import Solution, cut, union
 from .pointsto import SCHEMAS, solve_points_to, var
@@ -32,21 +33,28 @@ class Store:
 
     spark: SparkSession
     root: str
-    names: tuple[str, ...]
+    schemas: dict[str, StructType]
     folders: int = FOLDERS
 
+    @property
+    def names(self) -> tuple[str, ...]:
+        return tuple(self.schemas)
+
     @staticmethod
     def write(relations: dict[str, DataFrame], root: str, folders: int = FOLDERS) -> Store:
         for name, rows in relations.items():
             place = F.pmod(F.xxhash64("module"), F.lit(folders)).cast("int")
             rows.where("module is not null").withColumn("folder", place).repartition("folder").write.partitionBy("folder").parquet(f"{root}/{name}")
-        return Store(next(iter(relations.values())).sparkSession, root, tuple(relations), folders)
+        return Store(next(iter(relations.values())).sparkSession, root, {k: v.schema for k, v in relations.items()}, folders)
 
     def load(self, name: str, modules: DataFrame) -> DataFrame:
         """Rows of modules(module); reads only the folders that these are in."""
         place = F.pmod(F.xxhash64("module"), F.lit(self.folders)).cast("int")
         wanted = sorted(r[0] for r in modules.select(place).distinct().collect())  # `folders` numbers at most
-        rows = self.spark.read.parquet(f"{self.root}/{name}").where(F.col("folder").isin(wanted)).drop("folder")
+        # With the schema given, no file of another folder is opened, not even for its footer.
+        schema = StructType([*self.schemas[name], StructField("folder", IntegerType())])
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        rows = rows.where(F.col("folder").isin(wanted)).drop("folder")
         return rows.join(modules.select("module"), "module", "left_semi")
 
 
