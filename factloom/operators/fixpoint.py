@@ -248,7 +248,7 @@ def solve(
         made: dict[str, list[DataFrame]] = {}
         for rule in now:
             for use in rule.body:
-                if use.partition("@")[0] not in changed:
+                if use.partition("@")[0] not in changed or any(not parts[b.partition("@")[0]] for b in rule.body):
                     continue
                 inputs = {b: changed[b.partition("@")[0]] if b == use else total(b.partition("@")[0]) for b in rule.body}
                 for k, v in rule.derive(inputs).items():

@@ -518,3 +518,38 @@ def _(heap, jump):
     entries = heap.where("r = 1 and cust % 10 = 0").select(F.concat(F.lit("/app/m"), F.col("module_id").cast("string"), F.lit(".js")).alias("module"))
     pts = worklist.analyse(store, entries, resolve).solution["pts"]
     return pts.where("var like 'n:%' and var not like 'n:s%'").select(F.substring("var", 3, 30).cast("long").alias("module_id"), F.col("tok").cast("long").alias("target_id"))
+
+
+@register("points_to", ("b_order", "b_container"), """RECURSIVE r_up AS (SELECT c, c AS a FROM b_container UNION SELECT c, a - 1 FROM r_up WHERE a % 4 <> 0),
+c_read AS (SELECT x.o, s.o AS tok FROM b_order x JOIN r_up ON r_up.c = x.c JOIN b_order s ON s.c = r_up.a AND s.o % 5 = (x.o + 1) % 5),
+c_method AS (SELECT x.o, x.c, s.o AS tok FROM b_order x JOIN r_up ON r_up.c = x.c JOIN b_order s ON s.c = r_up.a AND s.o % 5 = (x.o + 2) % 5 WHERE x.o % 3 = 1),
+c_call AS (SELECT o, tok AS f FROM c_read WHERE o % 3 <> 1 AND tok % 4 = 3 UNION SELECT o, tok FROM c_method WHERE tok % 4 = 3),
+c_arg AS (SELECT f, o AS a FROM c_call WHERE o % 3 <> 2)
+SELECT 'n:r' || o AS var, 'o' || tok AS tok FROM c_read
+UNION SELECT 'n:v' || c_call.o, 'o' || a FROM c_call JOIN c_arg USING (f)
+UNION SELECT 'n:v' || o, 'new o' || f FROM c_call WHERE o % 3 = 2
+UNION SELECT 'T:o' || f, 'new o' || f FROM c_call WHERE o % 3 = 2
+UNION SELECT 'T:o' || tok, 'c' || c FROM c_method WHERE tok % 4 = 3""")
+def _(order, container):
+    """Every order stores itself in a property of its customer and reads another one, customers inherit from their
+    neighbours in fours, and a quarter of the orders are functions that return their argument. What an order reads it
+    calls, constructs, or calls as a method of its customer."""
+    spark = order.sparkSession
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    prop = lambda add: F.concat(F.lit("p"), ((F.col("o") + add) % 5).cast("string"))
+    none = F.lit(None)
+    function = F.col("o") % 4 == 3
+    tokens = order.select(name("o", "o").alias("tok"), F.when(function, "function").otherwise("object").alias("kind"), F.when(function, 1).alias("params"))
+    call = order.select(
+        name("k", "o").alias("call"), F.when(F.col("o") % 3 != 1, name("n:r", "o")).alias("callee"), F.when(F.col("o") % 3 == 1, name("n:c", "c")).alias("base"), F.when(F.col("o") % 3 == 1, prop(2)).alias("prop"),
+        name("n:v", "o").alias("result"), (F.col("o") % 3 == 2).alias("is_new"),
+    )
+    facts = {
+        "token": tokens.union(container.select(name("c", "c"), F.lit("object"), none.cast("int"))),
+        "pts": order.select(name("n:o", "o").alias("var"), name("o", "o").alias("tok")).union(container.select(name("n:c", "c"), name("c", "c"))),
+        "subset": order.where(function).select(pointsto.var("A", name("o", "o"), F.lit(0)).alias("src"), pointsto.var("R", name("o", "o")).alias("dst")),
+        "write": order.select(name("n:c", "c").alias("base"), prop(0).alias("prop"), name("n:o", "o").alias("src")), "read": order.select(name("n:c", "c").alias("base"), prop(1).alias("prop"), name("n:r", "o").alias("dst")),
+        "call": call, "arg": order.where("o % 3 <> 2").select(name("k", "o").alias("call"), F.lit(0).alias("i"), name("n:o", "o").alias("var")),
+        "inherits": container.where("c % 4 <> 0").select(name("c", "c").alias("tok"), F.concat(F.lit("c"), (F.col("c") - 1).cast("string")).alias("parent")),
+    }
+    return pointsto.solve_points_to(spark, facts)["pts"].where("var like 'n:r%' or var like 'n:v%' or var like 'T:%'")

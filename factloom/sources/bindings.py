@@ -32,6 +32,9 @@ VIEWS = {
     # below it; some require the head of another customer's heap, a few of them by a specifier that only solving finds.
     "b_heap": "SELECT o_orderkey AS module_id, o_custkey AS cust, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM {orders}",
     "b_jump": "SELECT o_orderkey AS src, (o_custkey + 7) % (SELECT count(*) FROM {customer}) AS cust, o_orderkey % 62 = 0 AS is_dynamic FROM {orders} WHERE o_orderkey % 31 = 0",
+    # A sparse program for the points-to kernel that uses every order and customer: see the query points_to.
+    "b_order": "SELECT o_orderkey AS o, o_custkey AS c FROM {orders}",
+    "b_container": "SELECT c_custkey AS c FROM {customer}",
 }
 
 
