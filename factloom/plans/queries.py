@@ -553,3 +553,38 @@ def _(order, container):
         "inherits": container.where("c % 4 <> 0").select(name("c", "c").alias("tok"), F.concat(F.lit("c"), (F.col("c") - 1).cast("string")).alias("parent")),
     }
     return pointsto.solve_points_to(spark, facts)["pts"].where("var like 'n:r%' or var like 'n:v%' or var like 'T:%'")
+
+
+# Each customer's last order is a vulnerable call; its first one and the order after it are calls of the entry package.
+STACKS = """RECURSIVE c_w AS (SELECT vuln_id, src, dst, min(CAST(round(weight * 1000000000) AS BIGINT)) AS m FROM b_stack_edge GROUP BY ALL),
+c_s AS (SELECT vuln_id, first AS source FROM b_stack_end UNION SELECT e.vuln_id, s.dst FROM b_stack_end e JOIN c_w s ON s.vuln_id = e.vuln_id AND s.src = e.first),
+r_p AS (SELECT c_s.vuln_id, source, source AS node, CAST(0 AS BIGINT) AS w, [source] AS path FROM c_s
+  UNION ALL SELECT p.vuln_id, p.source, c.dst, p.w + c.m, list_append(p.path, c.dst) FROM r_p p JOIN c_w c ON c.vuln_id = p.vuln_id AND c.src = p.node WHERE NOT list_contains(p.path, c.dst)),
+c_r AS (SELECT p.*, row_number() OVER (PARTITION BY p.vuln_id, source ORDER BY w, CAST(path AS VARCHAR[]) || ['target']) - 1 AS rank FROM r_p p JOIN b_stack_end e ON e.vuln_id = p.vuln_id AND e.last = p.node)
+SELECT vuln_id, CAST(source AS VARCHAR) AS source, CAST(rank AS INTEGER) AS rank, round(w / 1000000000.0, 6) AS weight, round(1 / greatest(1.0, w / 1000000000.0), 6) AS confidence, array_to_string(path, ' ') AS frames FROM c_r WHERE rank < 5"""
+
+
+@register("call_stacks", ("b_stack_edge", "b_stack_end"), STACKS)
+def _(edge, end):
+    to = end.select("vuln_id", F.col("last").cast("string").alias("src"), F.lit("target").alias("dst"), F.lit(0.0).alias("weight"))
+    steps = edge.select("vuln_id", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight").union(to)
+    after = edge.join(end.select("vuln_id", F.col("first").alias("src")), ["vuln_id", "src"]).select("vuln_id", F.col("dst").alias("source"))
+    stacks = vulnerabilities.call_stacks(steps, end.select("vuln_id", F.col("first").alias("source")).union(after))
+    return stacks.select("vuln_id", "source", "rank", F.round("weight", 6).alias("weight"), F.round("confidence", 6).alias("confidence"), F.array_join("frames", " ").alias("frames"))
+
+
+# Backwards from the calls of vulnerable functions, over the functions that hold the calls; entry packages end the search.
+GRAPHS = f"""RECURSIVE {ENCLOSING}, c_of AS (SELECT e.call_id, e.fn_id, p.is_entry FROM c_enc e JOIN b_fn f ON f.fn_id = e.fn_id JOIN b_pkg p ON p.pkg_id = f.pkg_id),
+c_to AS (SELECT DISTINCT vuln_id, call_id FROM b_vuln v JOIN b_c2f c ON c.fn_id = v.fn_id),
+c_back AS (SELECT c.call_id AS src, o.call_id AS dst FROM b_c2f c JOIN c_of o ON o.fn_id = c.fn_id AND NOT o.is_entry),
+r_met AS (SELECT vuln_id, call_id FROM c_to UNION SELECT r.vuln_id, b.src FROM r_met r JOIN c_back b ON b.dst = r.call_id),
+c_in AS (SELECT o.call_id, count(*) AS n FROM c_of o JOIN b_c2f c ON c.fn_id = o.fn_id WHERE NOT o.is_entry GROUP BY ALL),
+c_nodes AS (SELECT r.vuln_id, count(*) AS nodes, count_if(o.is_entry) AS sources, coalesce(sum(i.n), 0) AS into_calls FROM r_met r LEFT JOIN c_of o ON o.call_id = r.call_id LEFT JOIN c_in i ON i.call_id = r.call_id GROUP BY ALL),
+c_ends AS (SELECT vuln_id, count(*) AS targets FROM c_to GROUP BY ALL)
+SELECT n.vuln_id, CAST(nodes AS BIGINT) AS nodes, CAST(sources AS BIGINT) AS sources, targets, CAST(into_calls + targets AS BIGINT) AS edges FROM c_nodes n JOIN c_ends t ON t.vuln_id = n.vuln_id"""
+
+
+@register("vulnerability_call_graph", ("b_call", "b_fn", "b_pkg", "b_c2f", "b_vuln"), GRAPHS)
+def _(call, fn, pkg, c2f, vuln):
+    edges, sources = vulnerabilities.call_graph(c2f.select("call_id", F.lit(None).cast("string").alias("vuln_id")).limit(0), vuln.withColumnRenamed("fn_id", "node"), reports.enclosing_function(call, fn), c2f, fn, pkg)
+    return vulnerabilities.graph_sizes(edges, sources)

@@ -32,6 +32,12 @@ VIEWS = {
     # below it; some require the head of another customer's heap, a few of them by a specifier that only solving finds.
     "b_heap": "SELECT o_orderkey AS module_id, o_custkey AS cust, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM {orders}",
     "b_jump": "SELECT o_orderkey AS src, (o_custkey + 7) % (SELECT count(*) FROM {customer}) AS cust, o_orderkey % 62 = 0 AS is_dynamic FROM {orders} WHERE o_orderkey % 31 = 0",
+    # Sparse call graphs, one a customer, that use every order and line: an order calls the next of its customer's and the one
+    # at twice its place, some call one further back; a call weighs the root of the number of the order's distinct parts.
+    "b_stack_edge": "SELECT n.o_custkey AS vuln_id, n.o_orderkey AS src, b.o_orderkey AS dst, sqrt(w.parts) AS weight FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM {orders}) AS n "
+    "JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS parts FROM {lineitem} GROUP BY l_orderkey) AS w ON w.l_orderkey = n.o_orderkey "
+    "JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM {orders}) AS b ON b.o_custkey = n.o_custkey AND (b.r = n.r + 1 OR b.r = 2 * n.r OR (b.r = n.r - 3 AND n.o_orderkey % 4 = 0)) WHERE b.o_orderkey <> n.o_orderkey",
+    "b_stack_end": "SELECT o_custkey AS vuln_id, min(o_orderkey) AS first, max(o_orderkey) AS last FROM {orders} GROUP BY o_custkey",
     # A sparse program for the points-to kernel that uses every order and customer: see the query points_to.
     "b_order": "SELECT o_orderkey AS o, o_custkey AS c FROM {orders}",
     "b_container": "SELECT c_custkey AS c FROM {customer}",

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import compare, fixpoint, pointsto, reports, sinks, vulnerabilities
+from factloom.operators import compare, fixpoint, paths, pointsto, reports, sinks, vulnerabilities
 from factloom.patterns import language as L
 from factloom.patterns.compiler import Matcher
 from factloom.sources import readers
@@ -191,8 +191,9 @@ def test_merge_is_idempotent(spark):
 
 
 def test_k_shortest_paths(spark):
-    g = {"s": {"a": 1.0, "b": 2.0}, "a": {"t": 1.0, "b": 0.5}, "b": {"t": 1.0}}
-    assert vulnerabilities.k_shortest_paths(g, "s", "t", 5) == [(2.0, ("s", "a", "t")), (2.5, ("s", "a", "b", "t")), (3.0, ("s", "b", "t"))]
+    g = spark.createDataFrame([("v", "s", "a", 1.0), ("v", "s", "b", 2.0), ("v", "a", "target", 1.0), ("v", "a", "b", 0.5), ("v", "b", "target", 1.0)], "g string, src string, dst string, weight double")
+    best = paths.best_paths(g, spark.createDataFrame([("v", "s")], "g string, source string"), 5).collect()
+    assert [(r["weight"], tuple(r["path"])) for r in sorted(best, key=lambda r: r["rank"])] == [(2.0, ("s", "a", "target")), (2.5, ("s", "a", "b", "target")), (3.0, ("s", "b", "target"))]
     edges = spark.createDataFrame([("v", "s", "a", 1.0), ("v", "a", "target", 4.0)], "vuln_id string, src string, dst string, weight double")
     r = vulnerabilities.call_stacks(edges, spark.createDataFrame([("v", "s")], "vuln_id string, source string")).first()
     assert (r["frames"], r["confidence"]) == (["s", "a"], 0.2)
