@@ -259,3 +259,16 @@ def test_functions_without_callers(spark):
     fn = spark.createDataFrame([(1,), (2,), (3,)], "fn_id long")
     edge = spark.createDataFrame([(1, 2), (1, 2), (2, 2)], "src long, dst long")
     assert sorted(r["fn_id"] for r in reports.zero_caller_functions(fn, edge).collect()) == [1, 3]
+
+
+def test_labels_that_start_together_travel_once(spark):
+    ring, labels = 30, 50
+    edges = spark.createDataFrame([(i, (i + 1) % ring) for i in range(ring)] + [(0, 100), (100, 101), (101, 102)], "src long, dst long")
+    seeds = spark.createDataFrame([(k, k % ring) for k in range(labels)] + [(k, 101) for k in range(labels)] + [(99, 102)], "k long, node long")
+    got = fixpoint.shared(edges, seeds, ("k",))
+    assert got.reached.count() == 5  # the ring's class reaches four components, the other label one
+    want = {(n, k) for n in [*range(ring), 100, 101, 102] for k in range(labels)} | {(102, 99)}
+    assert sorted((r["node"], r["k"]) for r in got.rows().collect()) == sorted(want)
+    assert {r["node"]: r["n"] for r in got.sizes().collect()} == {n: sum(m == n for m, _ in want) for n, _ in want}
+    nodes, sets, n = got.grouped()
+    assert n == 2 and {(r["node"], r["k"]) for r in got.expanded(nodes.join(sets, "_set")).collect()} == want
