@@ -81,3 +81,18 @@ def test_call_graph(spark):
         ("V", 0, ["1", "2"], [round(1 / 2**0.5, 6), 1.0]), ("V", 1, ["1", "2", "4"], [round(1 / 2**0.5, 6), 1.0, 1.0]), ("V", 2, ["1", "3", "2"], [round(1 / 2**0.5, 6), 1.0, 1.0]), ("V", 3, ["1", "3", "2", "4"], [round(1 / 2**0.5, 6), 1.0, 1.0, 1.0]),
         ("W", 0, ["1", "3"], [round(1 / 2**0.5, 6), 1.0]),
     ]
+
+
+def test_sizes_of_call_graphs_without_their_edges(spark):
+    """The counts by groups of calls equal those of the graphs themselves; three functions and a few calls of each."""
+    from factloom.operators import vulnerabilities
+
+    c2f = spark.createDataFrame([(1, 10), (2, 11), (2, 10), (3, 12), (4, 11), (5, 12), (5, 10), (6, 13)], "call_id long, fn_id long")
+    enclosing = spark.createDataFrame([(1, 11), (2, 12), (3, 11), (4, 13), (5, 13)], "call_id long, fn_id long")
+    functions = spark.createDataFrame([(10, 1), (11, 1), (12, 1), (13, 0)], "fn_id long, pkg_id long")
+    packages = spark.createDataFrame([(0, True), (1, False)], "pkg_id long, is_entry boolean")
+    hits = spark.createDataFrame([(10, "a"), (12, "b"), (13, "b"), (99, "c")], "node long, vuln_id string")
+    none = c2f.select("call_id").limit(0).selectExpr("call_id", "cast(null as string) AS vuln_id")
+    want = vulnerabilities.graph_sizes(*vulnerabilities.call_graph(none, hits, enclosing, c2f, functions, packages)).collect()
+    got = vulnerabilities.call_graph_sizes(hits, enclosing, c2f, functions, packages).collect()
+    assert len(got) == 2 and sorted(map(tuple, got)) == sorted(map(tuple, want))
