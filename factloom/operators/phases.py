@@ -67,13 +67,13 @@ def patch_this(state: dict[str, DataFrame], methods: DataFrame) -> DataFrame:
 
 def getter_edges(state: dict[str, DataFrame]) -> DataFrame:
     """call (the read's destination), fn: accessor calls of reads: base tokens and their stored ancestors, joined with
-    getters that have no parameters."""
+    getters that have no parameters. Tokens get the getters of their ancestors first, so that reads meet tokens once."""
     pts = state["pts"]
     base = state["read"].join(pts.select(F.col("var").alias("base"), "tok"), "base").select("dst", "prop", "tok")
-    up = base.withColumn("x", var("X", "tok")).join(pts.select(F.col("var").alias("x"), F.col("tok").alias("u")), "x").select("dst", "prop", F.col("u").alias("tok"))
     g = slots(pts, "G", "of", "prop").select(F.col("of").alias("tok"), "prop", F.col("tok").alias("fn"))
     g = g.join(state["token"].where("kind = 'function' and params = 0").select(F.col("tok").alias("fn")), "fn", "left_semi")
-    return base.union(up).distinct().join(g, ["tok", "prop"]).select(F.col("dst").alias("call"), "fn").distinct()
+    up = slots(pts, "X", "of").select("of", "tok").join(g, "tok").select(F.col("of").alias("tok"), "prop", "fn")
+    return base.join(g.unionByName(up).distinct(), ["tok", "prop"]).select(F.col("dst").alias("call"), "fn").distinct()
 
 
 def partial_edges(state: dict[str, DataFrame]) -> DataFrame:
