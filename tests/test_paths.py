@@ -53,6 +53,31 @@ def test_best_paths_equal_all_paths_tried(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+@pytest.mark.parametrize(("widths", "whole"), [((1,), 100), ((1, 3), 100), ((16, 256), 3)])
+def test_best_paths_where_few_partial_paths_go_on_and_of_spread_graphs(spark, monkeypatch, widths, whole):
+    """What the width leaves behind is searched again, at last by sets; graphs of more than `whole` edges are spread."""
+    monkeypatch.setattr(paths, "WIDTHS", widths)
+    monkeypatch.setattr(paths, "WHOLE", whole)
+    graph = [(a, b, 1.0 + i % 3) for i, (a, b) in enumerate((a, b) for a in "stuv" for b in "tuvs" if a != b)] + [("t", "target", 4.0), ("v", "target", 1.0)]
+    few = [("s", "t", 1.0), ("t", "target", 2.0)]
+    edges = spark.createDataFrame([(1, *e) for e in graph] + [(2, *e) for e in few], "g int, src string, dst string, weight double")
+    got = paths.best_paths(edges, spark.createDataFrame([(1, "s"), (2, "s"), (1, "u")], "g int, source string"), 4).collect()
+    want = [(g, s, i, w, p) for g, s, of in [(1, "s", graph), (1, "u", graph), (2, "s", few)] for i, (w, p) in enumerate(every_path(of, s, 4))]
+    assert sorted((r["g"], r["source"], r["rank"], r["weight"], r["path"]) for r in got) == want
+
+
+def test_best_paths_take_few_jobs(spark):
+    """A long graph with many ways through it: no jobs for each rank, and none for each few steps of it."""
+    edges = spark.createDataFrame([("g", f"n{i}", f"n{j}" if j < 12 else "target", 1.0) for i in range(12) for j in (i + 1, i + 2) if j < 13], "g string, src string, dst string, weight double")
+    spark.sparkContext.setJobGroup("best paths", "")
+    try:
+        got = paths.best_paths(edges, spark.createDataFrame([("g", "n0")], "g string, source string"), 5).count()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("best paths"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert (got, jobs < 120) == (5, True), jobs
+
+
 def test_best_paths_of_nothing(spark):
     edges = spark.createDataFrame([], "g string, src string, dst string, weight double")
     sources = spark.createDataFrame([("v", "s")], "g string, source string")
