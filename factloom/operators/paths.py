@@ -52,7 +52,7 @@ def distances_back(edges: DataFrame) -> DataFrame:
             steps.append(at.withColumn("step", F.lit(i)))
         new = union(steps).groupBy("g", "node").agg(F.min(F.struct("h", "step")).alias("x")).select("g", "node", "x.*")
         old = union(parts).groupBy("g", "node").agg(F.min("h").alias("_old"))
-        made, sizes = _together({"at": new.join(old, ["g", "node"], "left").where("_old is null or h < _old").select("g", "node", "h", "step")}, n)
+        made, sizes, _ = _together({"at": new.join(old, ["g", "node"], "left").where("_old is null or h < _old").select("g", "node", "h", "step")}, n)
         if not made:
             return old.withColumnRenamed("_old", "h")
         parts, n = _compact([*parts, made["at"].drop("step")]), sizes["at"]
@@ -83,7 +83,7 @@ def _best_of_sets(sets: DataFrame, edges: DataFrame) -> DataFrame:
         new = union(steps).groupBy(*key).agg(F.min(F.struct(*best, "step")).alias("x"))
         old = state.groupBy(*key).agg(F.min(F.struct(*best)).alias("_old"))
         better = new.join(old, key, "left").where(F.col("_old").isNull() | (F.struct(*[F.col(f"x.{c}") for c in best]) < F.col("_old"))).select(*key, "x.*")
-        made, sizes = _together({"at": better}, n)
+        made, sizes, _ = _together({"at": better}, n)
         if not made:
             break
         parts, n, first = _compact([*parts, made["at"].drop("step")]), sizes["at"], False
