@@ -3,8 +3,8 @@
 Everything is a relation: files(path), manifests (one row a package.json), targets (one row a leaf of an `exports` or
 `imports` map, in the order in which a resolver tries them) and requests (path, spec, mode). A request meets the folders
 above it by a join on its ancestors, a map's keys by equality or, for patterns, within its own manifest; the best match is
-an aggregate. Requests are first reduced to distinct (folder, spec, mode), so that a module that everyone imports is
-resolved once a folder.
+an aggregate. Requests are first reduced to what decides about them: a path to where it leads, a name to the nearest folder
+with packages installed, so that a module that everyone imports is resolved once for all folders that see the same packages.
 
 Modes are `module` (import and export) and `commonjs` (require). What `module` cannot resolve is tried as `commonjs`. Files
 of TypeScript are looked up with its own extensions first; the compiler's path mappings are not modelled.
@@ -136,11 +136,39 @@ def map_targets(wanted: DataFrame, leaves: DataFrame, files: DataFrame) -> DataF
     return wanted.join(x.select(*wanted.columns, F.when((F.col("hit.status") == "file") & F.col("hit.there"), F.col("hit.file")).alias("target"), F.when(F.col("hit.status") == "bare", F.col("hit.spec")).alias("bare")), wanted.columns, "left")
 
 
+def package_name(spec: str) -> Column:
+    """The package that a specifier names."""
+    return F.regexp_extract(spec, r"^(@[^/]+/[^/]+|[^@/][^/]*)", 1)
+
+
+def _nearest(dirs: DataFrame, marked: DataFrame, name: str) -> DataFrame:
+    """dir, name: the nearest folder of marked(dir) at or above dir."""
+    x = dirs.select("dir", F.explode(ancestors(F.col("dir"))).alias(name)).join(marked.select(F.col("dir").alias(name)), name)
+    return x.groupBy("dir").agg(F.max_by(name, F.length(name)).alias(name))
+
+
 def scopes(dirs: DataFrame, packages: DataFrame) -> DataFrame:
     """dir, scope: the nearest manifest at or above dir; a node_modules folder in between hides what is above it."""
-    x = dirs.select("dir", F.explode(ancestors(F.col("dir"))).alias("scope")).join(packages.select(F.col("dir").alias("scope")), "scope")
-    x = x.groupBy("dir").agg(F.max_by("scope", F.length("scope")).alias("scope"))
-    return x.where(~F.expr("substr(dir, length(scope) + 1)").rlike("(^|/)node_modules(/|$)"))
+    return _nearest(dirs, packages, "scope").where(~F.expr("substr(dir, length(scope) + 1)").rlike("(^|/)node_modules(/|$)"))
+
+
+def installed(files: DataFrame, packages: DataFrame) -> DataFrame:
+    """at, host, mapped: the folders of packages in node_modules, the folder above that, and whether they have exports."""
+    there = files.select(F.explode(ancestors(folder(F.col("path")))).alias("at")).where(F.col("at").rlike(r"(^|/)node_modules/(@[^/]+/)?[^@/][^/]*$")).distinct()
+    there = there.join(packages.select(F.col("dir").alias("at"), F.col("exports").isNotNull().alias("mapped")), "at", "left")
+    return there.select("at", F.regexp_replace("at", r"/?node_modules/(@[^/]+/)?[^@/][^/]*$", "").alias("host"), F.coalesce("mapped", F.lit(False)).alias("mapped"))
+
+
+def placed(wanted: DataFrame, packages: DataFrame, there: DataFrame) -> DataFrame:
+    """wanted(dir, spec, ..) with scope, itself and origin. What a name means depends on the folder that asks only by the nearest
+    folder with packages installed, its origin, from which bare() searches; unless the package asks for its own name."""
+    dirs = cut(wanted.select("dir").distinct())
+    own = scopes(dirs, packages).join(packages.select(F.col("dir").alias("scope"), F.when(F.col("exports").isNotNull(), F.col("name")).alias("own")), "scope")
+    home = _nearest(dirs, there.select(F.col("host").alias("dir")).distinct(), "home")
+    places = cut(dirs.join(own, "dir", "left").join(home, "dir", "left"))
+    itself = F.coalesce(F.col("own") == package_name("spec"), F.lit(False))
+    x = wanted.join(places, "dir").withColumn("itself", itself)
+    return x.withColumn("origin", F.when(F.col("itself"), F.col("dir")).otherwise(F.coalesce("home", F.lit("")))).drop("own", "home")
 
 
 def owners(files: DataFrame, packages: DataFrame) -> DataFrame:
@@ -185,19 +213,17 @@ def first_file(wanted: DataFrame, files: DataFrame, packages: DataFrame, key: tu
     return x.groupBy(*key).agg(F.min_by("_file", "_turn").alias("target"))
 
 
-def bare(wanted: DataFrame, files: DataFrame, packages: DataFrame, leaves: DataFrame) -> DataFrame:
-    """dir, spec, mode, target of wanted(dir, spec, mode) that name packages, for one mode each: the package itself if it
-    exports under its own name, else the nearest node_modules folders. A package that has exports decides; one without is
-    searched, and the search goes on upwards where it has no such file."""
-    name = F.regexp_extract("spec", r"^(@[^/]+/[^/]+|[^@/][^/]*)", 1)
-    x = wanted.withColumn("name", name).where(F.col("name").rlike(r"^[^.\\%][^\\%]*$"))
+def bare(wanted: DataFrame, files: DataFrame, packages: DataFrame, leaves: DataFrame, there: DataFrame) -> DataFrame:
+    """origin, itself, spec, mode, target of wanted(origin, itself, spec, mode) that name packages (see placed), for one mode
+    each: the package itself if it exports under its own name, else the nearest node_modules folders. A package that has exports
+    decides; one without is searched, and the search goes on upwards where it has no such file."""
+    x = wanted.withColumn("name", package_name("spec")).where(F.col("name").rlike(r"^[^.\\%][^\\%]*$"))
     x = x.withColumn("sub", F.concat(F.lit("."), F.expr("substr(spec, length(name) + 1)")))
-    key = ["dir", "spec", "mode"]
-    scope = scopes(x.select("dir").distinct(), packages).join(packages.where("exports is not null").select(F.col("dir").alias("scope"), F.col("name")), "scope")
-    itself = x.join(scope, ["dir", "name"]).select(*key, "sub", F.lit(-1).alias("i"), F.col("scope").alias("at"), F.lit(True).alias("mapped"))
-    there = files.select(F.explode(ancestors(folder(F.col("path")))).alias("at")).where(F.col("at").rlike(r"(^|/)node_modules/(@[^/]+/)?[^@/][^/]*$")).distinct()
-    there = there.join(packages.select(F.col("dir").alias("at"), F.col("exports").isNotNull().alias("mapped")), "at", "left").select("at", F.coalesce("mapped", F.lit(False)).alias("mapped"))
-    up = x.select(*key, "sub", "name", F.posexplode(ancestors(F.col("dir"))).alias("i", "a")).withColumn("at", F.concat("a", F.lit("/node_modules/"), "name"))
+    key = ["origin", "itself", "spec", "mode"]
+    own = x.where("itself")
+    scope = scopes(own.select(F.col("origin").alias("dir")).distinct(), packages).withColumnRenamed("dir", "origin")
+    itself = own.join(scope, "origin").select(*key, "sub", F.lit(-1).alias("i"), F.col("scope").alias("at"), F.lit(True).alias("mapped"))
+    up = x.select(*key, "sub", "name", F.posexplode(ancestors(F.col("origin"))).alias("i", "a")).withColumn("at", F.concat("a", F.lit("/node_modules/"), "name"))
     near = itself.unionByName(up.join(there, "at").select(*key, "sub", "i", "at", "mapped"))
     maps = near.where("mapped").select(F.col("at").alias("dir"), F.lit("exports").alias("kind"), "sub", "mode").distinct()
     by_map = map_targets(maps, leaves, files).select(F.col("dir").alias("at"), "sub", "mode", "target")
@@ -221,38 +247,48 @@ def resolve(requests: DataFrame, files: DataFrame, packages: DataFrame) -> DataF
     an absolute one, an import map without that name). target is null but for files.
     """
     files = files.select("path").distinct()
-    leaves = cut(targets(packages))
-    asked = requests.select("path", "spec", "mode").where("path is not null and spec is not null").distinct()
-    typed_file = F.col("path").rlike(r"\.[mc]?tsx?$")
-    asked = cut(asked.select("*", folder(F.col("path")).alias("dir"), typed_file.alias("typed")))
+    leaves, there = cut(targets(packages)), cut(installed(files, packages))
+    # Requests are told once a row; what they need is told once for all that need the same: key.
+    asked = cut(requests.select("path", "spec", "mode").where("path is not null and spec is not null and mode is not null"))
     core = F.regexp_replace("spec", "^node:", "")
     kind = (
         F.when(F.col("spec").startswith("node:") | core.isin(BUILTINS), "builtin").when(F.col("spec").startswith("file:"), "file").when(F.col("spec").rlike("^(data|https?):"), "skipped")
         .when(F.col("spec").rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | F.col("spec").startswith("/") | (F.col("spec") == ""), "none")
-        .when(F.col("spec").rlike(r"^\.\.?(/|$)"), "relative").when(F.col("spec").startswith("#"), "imports").otherwise("bare")
+        .when(F.col("spec").rlike(r"^\.\.?(/|$)"), "relative").when(F.col("spec").startswith("#"), F.when((F.col("spec") == "#") | F.col("spec").startswith("#/") | F.col("scope").isNull(), "none").otherwise("imports"))
+        .otherwise("bare")
     )
-    each = cut(asked.select("dir", "spec", "mode", "typed").distinct().withColumn("kind", kind))
-    key = ["dir", "spec", "mode", "typed"]
-    of = lambda k: each.where(F.col("kind") == k).select(*key)
-
+    key = ["kind", "origin", "itself", "what", "by", "typed"]
+    of = lambda *kinds: F.col("kind").isin(*kinds)
     folder_only = F.col("spec").rlike(r"(/|^\.|/\.|^\.\.|/\.\.)$")
-    relative = first_file(of("relative").select(*key, F.concat("dir", F.lit("/"), "spec").alias("at"), folder_only.alias("only_folder")), files, packages, tuple(key), loadable=LOADABLE, typed=F.col("typed"))
-    address = of("file").withColumn("target", F.expr("regexp_replace(spec, '^file:(//[^/]*)?', '')")).withColumn("target", F.coalesce(F.try_url_decode("target"), "target"))
-    address = address.where(~F.col("spec").rlike("(?i)%2f|%5c")).withColumn("target", F.regexp_replace("target", "[?#].*$", "")).join(files.withColumnRenamed("path", "target"), "target", "left_semi").select(*key, "target")
+    asked = placed(asked.withColumn("dir", folder(F.col("path"))), packages, there).withColumn("kind", kind).select(
+        "path", "spec", "mode", "kind",
+        F.when(of("relative"), normal(F.concat("dir", F.lit("/"), "spec"))).when(of("imports"), F.col("scope")).when(of("bare"), F.col("origin")).otherwise("").alias("origin"),
+        (of("bare") & F.col("itself")).alias("itself"),
+        F.when(of("relative"), F.when(folder_only, "/").otherwise("")).when(of("imports", "bare", "file"), F.col("spec")).otherwise("").alias("what"),
+        F.when(of("imports", "bare"), F.col("mode")).otherwise("").alias("by"), (of("relative") & F.col("path").rlike(r"\.[mc]?tsx?$")).alias("typed"),
+    )
+    each = cut(asked.select(*key).distinct())
+
+    place = ("origin", "what", "typed")
+    relative = first_file(each.where(of("relative")).select(*place, F.col("origin").alias("at"), (F.col("what") == "/").alias("only_folder")), files, packages, place, loadable=LOADABLE, typed=F.col("typed"))
+    relative = each.where(of("relative")).join(relative, [*place]).select(*key, "target")
+    address = each.where(of("file")).withColumn("target", F.expr("regexp_replace(what, '^file:(//[^/]*)?', '')")).withColumn("target", F.coalesce(F.try_url_decode("target"), "target"))
+    address = address.where(~F.col("what").rlike("(?i)%2f|%5c")).withColumn("target", F.regexp_replace("target", "[?#].*$", "")).join(files.withColumnRenamed("path", "target"), "target", "left_semi").select(*key, "target")
 
     # Names and import maps: as asked for, then as a require.
-    named = each.where("kind in ('bare', 'imports')").select("dir", "spec", "kind", F.explode(F.when(F.col("mode") == "module", F.array(F.lit("module"), F.lit("commonjs"))).otherwise(F.array("mode"))).alias("mode")).distinct()
-    private = named.where("kind = 'imports' and spec <> '#' and spec not like '#/%'")
-    private = private.join(scopes(private.select("dir").distinct(), packages), "dir")
-    mapped = map_targets(private.select(F.col("scope").alias("dir"), F.lit("imports").alias("kind"), F.col("spec").alias("sub"), "mode").distinct(), leaves, files)
-    mapped = cut(mapped.select(F.col("dir").alias("scope"), F.col("sub").alias("spec"), "mode", "target", "bare"))
-    names = named.where("kind = 'bare'").select("dir", "spec", "mode").union(mapped.where("bare is not null").select("scope", "bare", "mode")).distinct()
-    found = cut(bare(names, files, packages, leaves))
-    through = mapped.join(found.select(F.col("dir").alias("scope"), F.col("spec").alias("bare"), "mode", F.col("target").alias("t")), ["scope", "bare", "mode"], "left")
-    through = through.select("scope", "spec", "mode", F.coalesce("target", "t").alias("target"), (F.col("target").isNull() & F.col("bare").isin(BUILTINS)).alias("core"))
-    private = private.join(through, ["scope", "spec", "mode"]).select("dir", "spec", "mode", "target", "core")
-    modes = private.union(found.withColumn("core", F.lit(False))).withColumnRenamed("mode", "by")
-    tried = each.where("kind in ('bare', 'imports')").join(modes, ["dir", "spec"]).where("by = mode or (mode = 'module' and by = 'commonjs')")
+    named = each.where(of("bare", "imports")).select("kind", "origin", "itself", F.col("what").alias("spec"), F.explode(F.when(F.col("by") == "module", F.array(F.lit("module"), F.lit("commonjs"))).otherwise(F.array("by"))).alias("mode")).distinct()
+    mapped = map_targets(named.where(of("imports")).select(F.col("origin").alias("dir"), F.lit("imports").alias("kind"), F.col("spec").alias("sub"), "mode"), leaves, files)
+    mapped = cut(mapped.select("dir", F.col("sub"), "mode", "target", "bare"))
+    through = cut(placed(mapped.where("bare is not null").select("dir", "sub", "mode", F.col("bare").alias("spec")), packages, there))
+    wanted = ["origin", "itself", "spec", "mode"]
+    found = cut(bare(named.where(of("bare")).select(*wanted).union(through.select(*wanted)).distinct(), files, packages, leaves, there))
+    through = through.join(found, wanted, "left").select("dir", "sub", "mode", F.col("target").alias("t"))
+    private = mapped.join(through, ["dir", "sub", "mode"], "left").select(
+        F.lit("imports").alias("kind"), F.col("dir").alias("origin"), F.lit(False).alias("itself"), F.col("sub").alias("what"), "mode", F.coalesce("target", "t").alias("target"),
+        (F.col("target").isNull() & F.col("bare").isin(BUILTINS)).alias("core"),
+    )
+    modes = private.union(found.select(F.lit("bare"), "origin", "itself", "spec", "mode", "target", F.lit(False)))
+    tried = each.join(modes, ["kind", "origin", "itself", "what"]).where("by = mode or (by = 'module' and mode = 'commonjs')")
     best = tried.where("target is not null or core").groupBy(*key).agg(F.max_by(F.struct("target", "core"), F.col("by") == F.col("mode")).alias("b")).select(*key, "b.target", "b.core")
 
     hit = relative.union(address).withColumn("core", F.lit(False)).union(best)
@@ -262,5 +298,6 @@ def resolve(requests: DataFrame, files: DataFrame, packages: DataFrame) -> DataF
         F.when((F.col("kind") == "builtin") | F.col("core"), "builtin").when(F.col("kind") == "skipped", "skipped").when(F.col("target").isNotNull() & known, "file")
         .when(F.col("target").isNotNull(), "skipped").when(F.col("kind") == "bare", "missing").otherwise("unresolved")
     )
-    out = out.select(*key, F.when(known, F.col("target")).alias("target"), outcome.alias("outcome"))
-    return asked.join(out, key).select("path", "spec", "mode", "target", "outcome")
+    out = cut(out.select(*key, F.when(known, F.col("target")).alias("target"), outcome.alias("outcome")))
+    # Equal requests need the same, so that one shuffle makes them distinct and brings them their answers.
+    return asked.repartition(*key).distinct().join(out, key).select("path", "spec", "mode", "target", "outcome")

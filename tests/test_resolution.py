@@ -140,3 +140,19 @@ def test_nothing_to_resolve(spark, tree):
     files = spark.createDataFrame([("/b.js", None)], "path string, content binary")
     got = {(r["spec"], r["target"], r["outcome"]) for r in R.resolve(asked, files.select("path"), R.manifests(files)).collect()}
     assert got == {("./b", "/b.js", "file"), ("b", None, "missing")}
+
+
+def test_a_name_is_resolved_once_for_all_folders_that_see_the_same_packages(spark, monkeypatch):
+    """Also where a folder in between has packages of its own, and where a package asks for its own name."""
+    m = [("/app/node_modules/x/package.json", '{"name": "x", "exports": "./x.js"}'), ("/app/p/node_modules/x/package.json", '{"name": "x", "main": "own.js"}'), ("/app/s/package.json", '{"name": "x", "exports": "./self.js"}')]
+    manifests = spark.createDataFrame(m, "path string, content string")
+    dirs = [f"/app/d{i}" for i in range(20)]
+    paths = ["/app/node_modules/x/x.js", "/app/p/node_modules/x/own.js", "/app/s/self.js", "/app/s/t/a.js", "/app/p/q/a.js", *[f"{d}/a.js" for d in dirs]]
+    files = spark.createDataFrame([(p,) for p in paths], "path string").union(manifests.select("path"))
+    asking, size = [f"{d}/a.js" for d in dirs] + ["/app/p/q/a.js", "/app/s/t/a.js"], []
+    plain = R.bare
+    monkeypatch.setattr(R, "bare", lambda wanted, *rest: size.append(wanted.count()) or plain(wanted, *rest))
+    asked = spark.createDataFrame([(p, "x", "commonjs") for p in asking for _ in range(2)], "path string, spec string, mode string")
+    got = {r["path"]: (r["target"], r["outcome"]) for r in R.resolve(asked, files, R.manifests(manifests)).collect()}
+    want = {p: ("/app/node_modules/x/x.js", "file") for p in asking} | {"/app/p/q/a.js": ("/app/p/node_modules/x/own.js", "file"), "/app/s/t/a.js": ("/app/s/self.js", "file")}
+    assert got == want and size == [3]
