@@ -1,7 +1,8 @@
 """Analysis of a program module by module: facts are loaded when a module is reached, and reaching goes on while solving.
 
-A store keeps facts in folders by module, so that a round reads the folders of the modules that the round before reached
-and no others. What a module requires is resolved, reaches further modules, and becomes facts: a module's exports flow to
+A store keeps facts in folders by module, so that only the folders of modules that are reached are read. What the modules of
+a folder require is resolved once, when the folder is opened, so that many steps from module to module are one job. What a
+module that is reached requires becomes facts: a module's exports flow to
 the result of the require, what lies outside the analysis is an access path. Specifiers that only appear as tokens while
 solving are requests too. When nothing new is reached, phases that look at what is absent may add facts, and all of it is
 repeated until nothing changes. Facts are only ever added: what a phase concluded from absence stays, though a later round
@@ -13,11 +14,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .fixpoint import Solution, cut, union
+from .fixpoint import HOPS, Solution, _compact, cut, union
 from .pointsto import SCHEMAS, solve_points_to, var
 
 #: Folders of a store. Their numbers are all that goes through the driver.
@@ -43,19 +44,25 @@ class Store:
     @staticmethod
     def write(relations: dict[str, DataFrame], root: str, folders: int = FOLDERS) -> Store:
         for name, rows in relations.items():
-            place = F.pmod(F.xxhash64("module"), F.lit(folders)).cast("int")
-            rows.where("module is not null").withColumn("folder", place).repartition("folder").write.partitionBy("folder").parquet(f"{root}/{name}")
+            rows.where("module is not null").withColumn("folder", F.pmod(F.xxhash64("module"), F.lit(folders)).cast("int")).repartition("folder").write.partitionBy("folder").parquet(f"{root}/{name}")
         return Store(next(iter(relations.values())).sparkSession, root, {k: v.schema for k, v in relations.items()}, folders)
 
-    def load(self, name: str, modules: DataFrame) -> DataFrame:
-        """Rows of modules(module); reads only the folders that these are in."""
-        place = F.pmod(F.xxhash64("module"), F.lit(self.folders)).cast("int")
-        wanted = sorted(r[0] for r in modules.select(place).distinct().collect())  # `folders` numbers at most
+    def place(self) -> Column:
+        """The folder of a module."""
+        return F.pmod(F.xxhash64("module"), F.lit(self.folders)).cast("int")
+
+    def folders_of(self, modules: DataFrame) -> set[int]:
+        return {r[0] for r in modules.select(self.place()).distinct().collect()}  # `folders` numbers at most
+
+    def rows(self, name: str, folders: set[int]) -> DataFrame:
+        """All rows in these folders."""
         # With the schema given, no file of another folder is opened, not even for its footer.
         schema = StructType([*self.schemas[name], StructField("folder", IntegerType())])
-        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        rows = rows.where(F.col("folder").isin(wanted)).drop("folder")
-        return rows.join(modules.select("module"), "module", "left_semi")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").where(F.col("folder").isin(sorted(folders))).drop("folder")
+
+    def load(self, name: str, modules: DataFrame, folders: set[int] | None = None) -> DataFrame:
+        """Rows of modules(module); reads only the folders that these are in, or those given."""
+        return self.rows(name, self.folders_of(modules) if folders is None else folders).join(modules.select("module"), "module", "left_semi")
 
 
 @dataclass
@@ -104,6 +111,7 @@ def analyse(
     modules, known, rounds, loaded = [], None, 0, []
     asked, edges, outside = none("module string, spec string, mode string, result string"), [], []
     extra: dict[str, DataFrame] = {}
+    told, ways, opened = [], [], set()  # what folders were opened, what their modules' requests resolve to, and the steps that these allow
 
     def reach(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
         """What requests resolve to, and the modules that this reaches for the first time."""
@@ -119,27 +127,51 @@ def analyse(
         for n, rows in dispatch(x, included, tracked).items():
             extra[n] = union([extra[n], rows]) if n in extra else rows
 
+    def arrive(new: DataFrame) -> tuple[DataFrame, set[int]] | None:
+        """All modules that new and the steps from there reach for the first time, with the folders that these are in."""
+        nonlocal modules, rounds
+        found = dict(new.groupBy(store.place()).agg(F.count(F.lit(1))).collect())  # a row a folder
+        if not found:
+            return None
+        rounds, modules, fresh, folders, there = rounds + 1, _compact([*modules, new]), [new], set(found), set()
+        loaded.append(sum(found.values()))
+        while folders:
+            there |= folders
+            if folders - opened:
+                x, _ = reach(store.rows("request", folders - opened).select(*request).distinct())
+                step = x.where("outcome = 'file'").select("module", F.col("target").alias("to")).distinct()
+                told.append(x)
+                ways.append(cut(step if included is None else step.join(included.select(F.col("module").alias("to")), "to", "left_semi").select("module", "to")))
+                opened.update(folders)
+            steps, at = [], new
+            for i in range(2 * HOPS):
+                at = at.join(union(ways), "module").select(F.col("to").alias("module")).distinct().join(union(modules), "module", "left_anti")
+                steps.append(at.withColumn("step", F.lit(i)))
+            reached = cut(union(steps).groupBy("module").agg(F.min("step").alias("step")))
+            # What the last step found goes on, and so does what lies in folders not opened yet.
+            at = [(r["step"], r["folder"], r["n"]) for r in reached.groupBy("step", store.place().alias("folder")).agg(F.count(F.lit(1)).alias("n")).collect()]  # a row a step and folder
+            sizes = [sum(n for s, _, n in at if s == i) for i in sorted({s for s, _, _ in at})]
+            rounds, loaded[len(loaded):] = rounds + len(sizes), sizes
+            there |= {f for _, f, _ in at} & opened
+            folders = {f for s, f, _ in at if f not in opened or s == 2 * HOPS - 1}
+            if at:
+                fresh.append(reached.select("module"))
+                modules = _compact([*modules, fresh[-1]])
+            new = reached.where((F.col("step") == 2 * HOPS - 1) | ~store.place().isin(sorted(opened))).select("module")
+        return cut(union(fresh)), there
+
     while True:
-        fresh, facts = [], []
-        while not new.isEmpty():  # a round loads what the round before reached
-            rounds += 1
-            loaded.append(new.count())
-            modules.append(new)
-            fresh.append(new)
-            x, there = reach(store.load("request", new).select(*request).distinct())
-            facts.append(x)
-            new = cut(there.join(union(modules), "module", "left_anti"))
-        if fresh:
-            now = cut(union(fresh))
+        got, new = arrive(new), new.limit(0)
+        if got:
+            now, folders = got
             for n in relations:
-                rows = store.load(n, now).drop("module")
+                rows = store.load(n, now, folders).drop("module")
                 extra[n] = union([extra[n], rows]) if n in extra else rows
-        for x in facts:
-            answered(x)
+            answered(cut(union(told).join(now, "module", "left_semi")))
         known, extra = solve_points_to(spark, extra, known=known, **options), {}
         if "dynamic" in store.names and modules:
             # Specifiers that reach a require as tokens.
-            held = store.load("dynamic", union(modules)).join(known["pts"].join(known["token"].where("kind = 'string'").select("tok"), "tok", "left_semi"), "var")
+            held = store.load("dynamic", union(modules), opened).join(known["pts"].join(known["token"].where("kind = 'string'").select("tok"), "tok", "left_semi"), "var")
             late = cut(held.select("module", F.col("tok").alias("spec"), "mode", "result").distinct().subtract(asked))
             if not late.isEmpty():
                 asked = union([asked, late])

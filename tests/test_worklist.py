@@ -49,6 +49,24 @@ def test_modules_are_loaded_as_they_are_reached(spark, store):
     assert got.loaded == [1, 1, 1, 1, 1]
 
 
+def test_long_ways_take_few_rounds(spark, tmp_path):
+    """m0 requires m1, which requires m2 and so on; folders are opened once, and what they require is resolved with them."""
+    n, asked = 40, []
+    request = spark.createDataFrame([(f"m{i}", f"./m{i + 1}", "commonjs", f"n:{i}") for i in range(n)] + [("m5", "./m1", "commonjs", "n:back")], REQUEST)
+    pts = spark.createDataFrame([(f"m{i}", f"P:module m{i}:exports", f"t{i}") for i in range(n + 1)], "module string, var string, tok string")
+    token = pts.selectExpr("module", "tok", "'object' as kind", "cast(null as int) as params")
+    store = worklist.Store.write({"request": request, "pts": pts, "token": token}, str(tmp_path / "store"), 2)
+
+    def found(requests):
+        asked.append(requests.count())
+        return requests.withColumn("outcome", F.lit("file")).withColumn("target", F.substring("spec", 3, 9))
+
+    got = worklist.analyse(store, spark.createDataFrame([("m0",)], "module string"), found)
+    assert rows(got.modules) == sorted((f"m{i}",) for i in range(n + 1)) and got.loaded == [1] * (n + 1) and got.rounds == n + 1
+    assert got.requires.count() == n + 1 and {(f"n:{i}", f"t{i + 1}") for i in range(n)} | {("n:back", "t1")} <= set(rows(got.solution["pts"]))
+    assert len(asked) <= 2 and sum(asked) == n + 1
+
+
 def test_modules_left_out_and_tracked(spark, store):
     included = spark.createDataFrame([("a",), ("b",)], "module string")
     got = worklist.analyse(store, spark.createDataFrame([("a",), (None,)], "module string"), resolve, included=included, tracked="^(out|./b)$")
