@@ -272,3 +272,23 @@ def test_labels_that_start_together_travel_once(spark):
     assert {r["node"]: r["n"] for r in got.sizes().collect()} == {n: sum(m == n for m, _ in want) for n, _ in want}
     nodes, sets, n = got.grouped()
     assert n == 2 and {(r["node"], r["k"]) for r in got.expanded(nodes.join(sets, "_set")).collect()} == want
+
+
+def test_labels_travel_as_bits_of_words(spark):
+    """Layers without cycles, in which every label starts at nodes of its own."""
+    width, layers, labels = 12, 5, 150
+    pairs = [(10 * width * d + i, 10 * width * (d + 1) + j) for d in range(layers - 1) for i in range(width) for j in range(width) if (i + j + d) % 4]
+    starts = [(k, 10 * width * (k % 3) + k % width) for k in range(labels)] + [(k, 10 * width + (k * k + 1) % width) for k in range(labels)] + [(k, 9999) for k in range(0, labels, 70)]
+    got = fixpoint.shared(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame(starts, "k long, node long"), ("k",))
+    want, more = set(), {(n, k) for k, n in starts}
+    while more:
+        want |= more
+        more = {(b, k) for n, k in more for a, b in pairs if a == n} - want
+    assert sorted((r["node"], r["k"]) for r in got.rows().collect()) == sorted(want)
+    nodes = {n for n, _ in want}
+    assert {r["node"]: r["n"] for r in got.sizes().collect()} == {n: sum(m == n for m, _ in want) for n in nodes}
+    assert got.packed.count() <= len(nodes) * -(-labels // fixpoint.WORD) < got.reached.count()
+    some = spark.createDataFrame([(n,) for n in sorted(nodes)[::7]], "node long")
+    assert sorted((r["node"], r["k"]) for r in got.among(some).collect()) == sorted((n, k) for n, k in want if n in sorted(nodes)[::7])
+    of, sets, n = got.grouped()
+    assert {(r["node"], r["k"]) for r in got.expanded(of.join(sets, "_set")).collect()} == want and n == len({frozenset(k for m, k in want if m == x) for x in nodes})
